@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHARD_BYTES = 8 << 20
+SHARD_ROWS = 4096
 
 #: A-Z to a-z; digits, a-z and all bytes over 0x7F stay; every other byte is a space.
 FOLD = bytes((i | 32) if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -20,12 +21,12 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def shards(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of a batch with at most ``limit`` bytes of text, or a single row; a null text is None."""
+def shards(batch: pa.RecordBatch, column: int, limit: int, rows: int = SHARD_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of a batch with at most ``rows`` rows and ``limit`` bytes of text, or a single row; a null text is None."""
     texts = batch.column(column).cast(pa.large_binary())
     start, held = 0, 0
     for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
-        if i > start and held + (n or 0) > limit:
+        if i > start and (held + (n or 0) > limit or i - start >= rows):
             yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
             start, held = i, 0
         held += n or 0
@@ -34,7 +35,7 @@ def shards(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[pa.
 
 
 def add_columns(
-    docs: DataFrame, fields: str, make: Callable[[], Callable[[list[bytes | None]], list]], *, text_col: str = "text", keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES
+    docs: DataFrame, fields: str, make: Callable[[], Callable[[list[bytes | None]], list]], *, text_col: str = "text", keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """``docs`` with further columns made from its text, a row for each row.
 
@@ -53,7 +54,7 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part, texts in shards(batch, len(kept), shard_bytes):
+            for part, texts in shards(batch, len(kept), shard_bytes, shard_rows):
                 made = [pa.array(v, type=t) for v, t in zip(work(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)
 
