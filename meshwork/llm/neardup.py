@@ -189,8 +189,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     seen = cut(_signature_columns(docs, id_col, text_col))
     reps = seen.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    nodes = seen.join(reps.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    rows = nodes.select(F.explode("bands").alias("band"), F.col("id").alias("node"), "s1", "s2")
+    nodes = cut(seen.join(reps.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
+    rows = nodes.select(F.posexplode("bands").alias("place", "band"), F.col("id").alias("node"), "s1", "s2")
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(rows.join(sizes, "band"))
     met = shared.groupBy("node").agg(F.sum("n").alias("met"))
@@ -208,14 +208,16 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     named = shared.join(label.select(F.col("v").alias("node"), "component"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     mixed = named.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("m")).where("labels > 1").select("band", F.col("m.label").alias("main"))
-    open_rows = cut(named.join(mixed, "band").select("band", "node", "label", "main"))
+    open_rows = cut(named.join(mixed, "band").select("band", "place", "node", "label", "main"))
     open_ids = cut(open_rows.select(F.col("node").alias("id")).distinct())
     fine = cut(_fine_columns(texts.join(F.broadcast(open_ids) if few else open_ids, "id", "left_semi")))
-    open_rows = open_rows.join(fine.withColumnRenamed("id", "node"), "node")
+    open_nodes = fine.join(nodes.select("id", "bands"), "id").withColumnRenamed("id", "node")
+    open_rows = open_rows.join(open_nodes, "node")
     parts = range(FINE // 64)
-    out = open_rows.where("label <> main").select("band", F.col("node").alias("c"), F.col("label").alias("cl"), *(F.col(f"f{k}").alias(f"g{k}") for k in parts))
+    out = open_rows.where("label <> main").select("band", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("bands").alias("cbands"), *(F.col(f"f{k}").alias(f"g{k}") for k in parts))
     unlike = sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}"))) for k in parts), F.lit(0))
-    more = out.join(open_rows, "band").where((F.col("cl") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("c") < F.col("node"))) & (unlike <= MOST_FINE_BITS)).select(F.greatest("c", "node").alias("a"), F.least("c", "node").alias("b")).distinct()
+    first = ~F.arrays_overlap(F.slice("bands", F.lit(1), F.col("place")), F.slice("cbands", F.lit(1), F.col("place")))  # a pair leaves the first band that it shares
+    more = out.join(open_rows, "band").where((F.col("cl") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("c") < F.col("node"))) & (unlike <= MOST_FINE_BITS) & first).select(F.greatest("c", "node").alias("a"), F.least("c", "node").alias("b"))
     tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = cut(more.join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(cut(_verify(rest, texts, similarity)))
