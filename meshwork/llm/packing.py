@@ -7,8 +7,10 @@ documents are taken in shards; of each shard whole sequences are filled and the
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +25,31 @@ CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SHARD_BYTES = 8 << 20
-#: Words whose ids a task remembers.
-CACHE = 400_000
+#: Runs of characters, and words, whose ids a Python worker remembers.
+RUNS, WORDS = 700_000, 600_000
+#: Words that are encoded as one text.
+JOINED = 256
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _splits(word: bytes, mark: bytes) -> bool:
+    """Whether marks after a word are pieces of their own: it ends in a letter or digit, in Latin ones, and they do not begin with an apostrophe."""
+    if mark == b"'":
+        return False
+    if word[-1] < 128:
+        return word[-1:].isalnum()
+    last = word[-2:].decode("utf-8", "replace")[-1]
+    return bool(_LATIN.fullmatch(last.lower())) and last != "\u0130"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins characters across white space; words are encoded once and remembered.
+    """Ids of whole texts by a tokenizer that never joins characters across white space.
 
     Normalisation and pre-tokenization of the vocabulary file act within runs of non-space characters, so the ids of a text are those
-    of its runs, one after another.
+    of its runs, one after another, and those of a run are those of its word in lower case and of the marks after it. Both are
+    remembered. Words of Latin letters alone are one piece each for the vocabulary, the last id of which ends a word;
+    so many are encoded as one text and told apart by these ends.
     """
 
     def __init__(self, path: str | None = None):
@@ -42,22 +60,70 @@ class WordTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.cache = Tokenizer.from_file(str(path)), {}
+        self.tokenizer, self.runs, self.words = Tokenizer.from_file(str(path)), {}, {b"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Encode words that are not remembered."""
+        plain, other = [], []
+        for w in new:
+            text = w.decode("utf-8")
+            (plain if _LATIN.fullmatch(text) else other).append(text)
+        texts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for part, made in zip(texts, self.tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False) if texts else [], strict=True):
+            ids = np.array(made.ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(part):
+                other += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, cuts.tolist(), strict=True):
+                self.words[w.encode("utf-8")] = raw[at:end]
+                at = end
+        for w, made in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else [], strict=True):
+            self.words[w.encode("utf-8")] = np.array(made.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes | None], end: int = END_ID) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the id ``end``."""
         runs = [t.split() if t else [] for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list(set().union(*runs) - self.cache.keys())
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for run, made in zip(part, self.tokenizer.encode_batch_fast([r.decode("utf-8") for r in part], add_special_tokens=False), strict=True):
-                self.cache[run] = np.array(made.ids, "<u4").tobytes()
-        last, get = int(end).to_bytes(4, "little"), self.cache.__getitem__
+        if len(self.runs) > RUNS:
+            self.runs.clear()
+        if len(self.words) > WORDS:
+            self.words = {b"": b""}
+        new = set().union(*runs) - self.runs.keys()
+        named = any(b"<|" in t for t in texts if t)  # names of special ids keep their case
+        parts = {}
+        for r in new:
+            word = r.rstrip(_MARKS)
+            if len(word) == len(r):
+                parts[r] = (r, b"") if named and b"<|" in r else (r.lower(), b"")
+            else:
+                parts[r] = (word.lower(), r[len(word) :]) if word and not (named and b"<|" in r) and _splits(word, r[len(word) : len(word) + 1]) else (r, b"")
+        missing = set(map(itemgetter(0), parts.values()))
+        missing.update(map(itemgetter(1), parts.values()))
+        missing -= self.words.keys()
+        missing.discard(b"")
+        if missing:
+            self._learn(missing)
+        words = self.words
+        for r, (word, marks) in parts.items():
+            self.runs[r] = words[word] + words[marks] if marks else words[word]
+        last, get = int(end).to_bytes(4, "little"), self.runs.__getitem__
         return [b"".join(map(get, r)) + last for r in runs]
 
 
+_TOKENIZERS: dict[str | None, WordTokenizer] = {}
+
+
+def tokenizer(path: str | None) -> WordTokenizer:
+    """One for each vocabulary file and Python worker, which tasks share."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def cost(n: float, linear: float = LINEAR, quadratic: float = QUADRATIC) -> float:
     return linear * n + quadratic * n * n
 
@@ -142,7 +208,7 @@ def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
     names = [*kept, *added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = WordTokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
+        encoder, sequence = tokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
         left: list[Piece] = []
         ids: list[bytes] = []
         held: pa.Table | None = None
