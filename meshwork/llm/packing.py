@@ -10,7 +10,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,8 @@ CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SHARD_BYTES = 8 << 20
-#: Runs of characters, and words, whose ids a Python worker remembers.
-RUNS, WORDS = 700_000, 600_000
+#: Runs of characters whose ids a Python worker remembers (about 200 bytes each).
+RUNS = 1_000_000
 #: Words that are encoded as one text.
 JOINED = 256
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -47,7 +46,7 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins characters across white space.
 
     Normalisation and pre-tokenization of the vocabulary file act within runs of non-space characters, so the ids of a text are those
-    of its runs, one after another, and those of a run are those of its word in lower case and of the marks after it. Both are
+    of its runs, one after another, and those of a run are those of its word in lower case and of the marks after it. All are
     remembered. Words of Latin letters alone are one piece each for the vocabulary, the last id of which ends a word;
     so many are encoded as one text and told apart by these ends.
     """
@@ -60,7 +59,7 @@ class WordTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.runs, self.words = Tokenizer.from_file(str(path)), {}, {b"": b""}
+        self.tokenizer, self.ids = Tokenizer.from_file(str(path)), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -69,10 +68,9 @@ class WordTokenizer:
         """Encode words that are not remembered."""
         plain, other = [], []
         for w in new:
-            text = w.decode("utf-8")
-            (plain if _LATIN.fullmatch(text) else other).append(text)
+            (plain if w.isalpha() or _LATIN.fullmatch(w.decode("utf-8")) else other).append(w)
         texts = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for part, made in zip(texts, self.tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False) if texts else [], strict=True):
+        for part, made in zip(texts, self.tokenizer.encode_batch_fast([b" ".join(t).decode("utf-8") for t in texts], add_special_tokens=False) if texts else [], strict=True):
             ids = np.array(made.ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(part):
@@ -80,37 +78,43 @@ class WordTokenizer:
                 continue
             raw, at = ids.tobytes(), 0
             for w, end in zip(part, cuts.tolist(), strict=True):
-                self.words[w.encode("utf-8")] = raw[at:end]
+                self.ids[w] = raw[at:end]
                 at = end
-        for w, made in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else [], strict=True):
-            self.words[w.encode("utf-8")] = np.array(made.ids, "<u4").tobytes()
+        for w, made in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in other], add_special_tokens=False) if other else [], strict=True):
+            self.ids[w] = np.array(made.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes | None], end: int = END_ID) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the id ``end``."""
         runs = [t.split() if t else [] for t in texts]
-        if len(self.runs) > RUNS:
-            self.runs.clear()
-        if len(self.words) > WORDS:
-            self.words = {b"": b""}
-        new = set().union(*runs) - self.runs.keys()
+        if len(self.ids) > RUNS:
+            self.ids.clear()
+        ids = self.ids
         named = any(b"<|" in t for t in texts if t)  # names of special ids keep their case
-        parts = {}
-        for r in new:
-            word = r.rstrip(_MARKS)
-            if len(word) == len(r):
-                parts[r] = (r, b"") if named and b"<|" in r else (r.lower(), b"")
-            else:
-                parts[r] = (word.lower(), r[len(word) :]) if word and not (named and b"<|" in r) and _splits(word, r[len(word) : len(word) + 1]) else (r, b"")
-        missing = set(map(itemgetter(0), parts.values()))
-        missing.update(map(itemgetter(1), parts.values()))
-        missing -= self.words.keys()
-        missing.discard(b"")
-        if missing:
-            self._learn(missing)
-        words = self.words
-        for r, (word, marks) in parts.items():
-            self.runs[r] = words[word] + words[marks] if marks else words[word]
-        last, get = int(end).to_bytes(4, "little"), self.runs.__getitem__
+        need, parts = set(), []
+        for r in set().union(*runs) - ids.keys():
+            if r.isalpha() and r.islower():
+                need.add(r)
+                continue
+            word, marks = r.rstrip(_MARKS), b""
+            if len(word) < len(r):
+                marks = r[len(word) :]
+                if not word or not _splits(word, marks[:1]):
+                    word, marks = r, b""
+            if named and b"<|" in r or not word or (word is r and not marks and r[-1:] in _MARKS):
+                need.add(r)
+                continue
+            word = word.lower()
+            need.add(word)
+            if marks:
+                need.add(marks)
+            if word != r:
+                parts.append((r, word, marks))
+        need -= ids.keys()
+        if need:
+            self._learn(need)
+        for r, word, marks in parts:
+            ids[r] = ids[word] + ids[marks] if marks else ids[word]
+        last, get = int(end).to_bytes(4, "little"), ids.__getitem__
         return [b"".join(map(get, r)) + last for r in runs]
 
 
