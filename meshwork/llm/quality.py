@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 A document's vector is the average of the learned vectors of its words and of their character n-grams, all hashed into one table; a softmax
-over it gives the label. As the model is linear in the average, a word adds one number and a count to a text's score, which tasks remember.
+over it gives the label. A word that equals the one before it also counts as the word AGAIN. As the model is linear in the average, a word adds
+one number and a count to a text's score, which tasks remember.
 """
 
 from __future__ import annotations
@@ -9,19 +10,25 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from meshwork.llm.arrow import add_columns
 from meshwork.llm.sample import PER_CLASS, collected, labelled
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 DIM = 8
 GRAMS = (2, 3)
 #: Words of a document that training draws, evenly over all of it; scoring takes all.
 TRAIN_WORDS = 400
 CACHE = 400_000
+#: What a word that equals the one before it adds; with white space, so no text holds it.
+AGAIN = b" again"
+#: Training documents that must hold a feature; the vectors of others are zero, so unseen words add nothing but their known n-grams.
+LEAST_DOCS = 3
 
 
 def features(word: bytes, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> list[int]:
@@ -41,25 +48,35 @@ class Model:
         return (self.out[1] - self.out[0]) @ self.table
 
 
-def train(texts: list[bytes], y: list[int], *, epochs: int = 6, rate: float = 0.5, batch: int = 32, seed: int = 0) -> Model:
-    """Numpy stochastic gradient descent (with per-parameter scaling) on the softmax loss."""
+def again(words: list[bytes]) -> int:
+    """How many words equal the one before them."""
+    return sum(map(eq, words, words[1:]))
+
+
+def train(texts: list[bytes], y: list[int], *, odds: float | None = None, epochs: int = 6, rate: float = 0.5, batch: int = 32, seed: int = 0) -> Model:
+    """Numpy stochastic gradient descent (with per-parameter scaling) on the softmax loss.
+
+    odds: of label 1 to 0 where the model is to be used, if the sample's differ.
+    """
     deal = np.random.default_rng(seed)
-    model = Model(deal.uniform(-1 / DIM, 1 / DIM, (DIM, BUCKETS)), np.zeros((2, DIM)), np.zeros(2))
-    model.out[:] = deal.uniform(-1 / DIM, 1 / DIM, (2, DIM))
+    model = Model(np.zeros((DIM, BUCKETS), np.float32), deal.uniform(-1 / DIM, 1 / DIM, (2, DIM)), np.zeros(2))
     if not texts or len(set(y)) < 2:
-        model.bias[:] = [0.0, 0.0]
-        model.table[:] = 0
         return model
     rows = []
     known: dict[bytes, list[int]] = {}
     for t in texts:
         own = t.split()
-        if len(own) > TRAIN_WORDS:
-            own = [own[i] for i in np.linspace(0, len(own) - 1, TRAIN_WORDS).astype(int).tolist()]
+        if len(own) > TRAIN_WORDS:  # eight stretches, so that words keep their neighbours
+            own = [w for i in np.linspace(0, len(own) - TRAIN_WORDS // 8, 8).astype(int).tolist() for w in own[i : i + TRAIN_WORDS // 8]]
+        own = own + [AGAIN] * again(own)
         ids = [f for w in own for f in (known.get(w) or known.setdefault(w, features(w)))]
         index, count = np.unique(np.array(ids, np.int64), return_counts=True)
         rows.append((index, count / max(1, count.sum())))
-    square, target = np.full((DIM, BUCKETS), 1e-8), np.array(y)
+    docs = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS)
+    rows = [(i[docs[i] >= LEAST_DOCS], share[docs[i] >= LEAST_DOCS]) for i, share in rows]
+    used = np.flatnonzero(docs >= LEAST_DOCS)
+    model.table[:, used] = deal.uniform(-1 / DIM, 1 / DIM, (DIM, len(used)))
+    square, target = np.full((DIM, BUCKETS), 1e-8, np.float32), np.array(y)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = deal.permutation(len(rows))
@@ -81,12 +98,16 @@ def train(texts: list[bytes], y: list[int], *, epochs: int = 6, rate: float = 0.
                 g = np.bincount(inverse, back[doc, d] * share, len(places))
                 square[d][places] += g * g
                 model.table[d][places] -= step * g / np.sqrt(square[d][places])
+    if odds:
+        model.bias[1] += math.log(odds * max(1, y.count(0)) / max(1, y.count(1)))
     return model
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, per_class: int = PER_CLASS) -> Model:
     """A model from at most ``per_class`` documents of either label, none of them of ``held_out``."""
-    return train(*collected(labelled(docs, labels, label, id_col=id_col, text_col=text_col, held_out=held_out, per_class=per_class), per_class))
+    counts = {r["y"]: r["count"] for r in (labels if held_out is None else labels.where(~held_out)).groupBy(F.col(label).alias("y")).count().collect()}
+    odds = counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
+    return train(*collected(labelled(docs, labels, label, id_col=id_col, text_col=text_col, held_out=held_out, per_class=per_class), per_class), odds=odds)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -104,13 +125,15 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
 
         def work(texts: list[bytes | None]) -> list:
             words = [t.split() if t else [] for t in texts]
+            twice = list(map(again, words))
             if len(sums) > CACHE:
                 sums.clear()
                 counts.clear()
-            for w in set().union(*words) - sums.keys():
+            for w in set().union(*words, (AGAIN,)) - sums.keys():
                 f = features(w)
                 sums[w], counts[w] = float(weights[f].sum()), len(f)
-            scores = [1 / (1 + math.exp(-max(-60.0, min(60.0, bias + sum(map(sums.__getitem__, w)) / max(1, sum(map(counts.__getitem__, w))))))) for w in words]
+            logits = [bias + (sum(map(sums.__getitem__, w)) + k * sums[AGAIN]) / max(1, sum(map(counts.__getitem__, w)) + k * counts[AGAIN]) for w, k in zip(words, twice, strict=True)]
+            scores = [1 / (1 + math.exp(-max(-60.0, min(60.0, z)))) for z in logits]
             return [scores, [int(s >= threshold) for s in scores]]
 
         return work

@@ -73,6 +73,20 @@ def _select(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     return [names[i] for i in best[:MOST_FEATURES]]
 
 
+def fresh(texts: list[bytes], y: list[int]) -> list[set[bytes]]:
+    """The words of each text's lines that no text of the same label before it holds: copies of a text don't make its words evidence."""
+    seen: set[tuple[bytes, int]] = set()
+    out = []
+    for text, label in zip(texts, y, strict=True):
+        own: set[bytes] = set()
+        for line in set(text.split(b"\n")):
+            if (line, label) not in seen:
+                seen.add((line, label))
+                own.update(words(line))
+        out.append(own)
+    return out
+
+
 def swapped(own: set[bytes], groups: list[list[str]], deal: np.random.Generator) -> set[bytes] | None:
     """The text's words with each identity term put for another of its group; None if it has no such term."""
     out, any_term = set(own), False
@@ -96,7 +110,7 @@ def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups:
     sets = [set(words(t)) for t in texts]
     others = [[s for _ in range(swaps) if (s := swapped(own, groups, deal))] for own in sets]
     known_terms = {t.encode() for g in groups for t in g}
-    names = _select(sets, target)
+    names = _select(fresh(texts, y), target)
     seen = set(names)
     for t in sorted(known_terms & set().union(*sets, *(s for o in others for s in o))):
         if (f := b"<" + t + b">") not in seen:
