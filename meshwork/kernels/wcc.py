@@ -37,3 +37,9 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
             return now.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(now.select("v", F.col("v").alias("component")).distinct())
         mark = tuple(new)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def wcc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, component) of every vertex: the least id of its weakly connected component, its own if it has no edge."""
+    label = components(edges.select("src", "dst"))
+    return vertices.select("v").join(label, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
