@@ -63,19 +63,21 @@ def train(texts: list[bytes], y: list[int], *, odds: float | None = None, epochs
     if not texts or len(set(y)) < 2:
         return model
     rows = []
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, np.ndarray] = {}
     for t in texts:
         own = t.split()
         if len(own) > TRAIN_WORDS:  # eight stretches, so that words keep their neighbours
             own = [w for i in np.linspace(0, len(own) - TRAIN_WORDS // 8, 8).astype(int).tolist() for w in own[i : i + TRAIN_WORDS // 8]]
         own = own + [AGAIN] * again(own)
-        ids = [f for w in own for f in (known.get(w) or known.setdefault(w, features(w)))]
-        index, count = np.unique(np.array(ids, np.int64), return_counts=True)
-        rows.append((index, count / max(1, count.sum())))
+        for w in set(own) - known.keys():
+            known[w] = np.array(features(w), np.int32)
+        index, count = np.unique(np.concatenate([known[w] for w in own]) if own else np.zeros(0, np.int32), return_counts=True)
+        rows.append((index, (count / max(1, count.sum())).astype(np.float32)))
     docs = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS)
     rows = [(i[docs[i] >= LEAST_DOCS], share[docs[i] >= LEAST_DOCS]) for i, share in rows]
     used = np.flatnonzero(docs >= LEAST_DOCS)
     model.table[:, used] = deal.uniform(-1 / DIM, 1 / DIM, (DIM, len(used)))
+    known.clear()
     square, target = np.full((DIM, BUCKETS), 1e-8, np.float32), np.array(y)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)

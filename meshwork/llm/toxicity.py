@@ -7,6 +7,7 @@ them is trained with a penalty on the square of the change of the score when ide
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ GRAMS = (4, 5, 6)
 MOST_FEATURES = 20_000
 LEAST_CHI = 15.0
 LEAST_DOCS = 3
+BUCKETS = 1 << 22
 PENALTY = 1.0
 THRESHOLD = 0.7
 CACHE = 400_000
@@ -51,24 +53,33 @@ class Model:
         return tuple({f for f in features(w) if f in self.weights})
 
 
-def _select(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
-    """Features by chi-square of their presence against the label."""
-    counts: dict[bytes, list[int]] = {}
-    spelled: dict[bytes, list[bytes]] = {}
-    for own, label in zip(sets, y.tolist(), strict=True):
-        seen: set[bytes] = set()
-        for w in own:
-            seen.update(spelled.get(w) or spelled.setdefault(w, features(w)))
-        for f in seen:
-            counts.setdefault(f, [0, 0])[label] += 1
-    n0, n1 = float((y == 0).sum()), float((y == 1).sum())
-    names = [f for f, c in counts.items() if c[0] + c[1] >= LEAST_DOCS]
-    c = np.array([counts[f] for f in names], float).reshape(-1, 2)
-    b, a = c[:, 0], c[:, 1]
+def _chi(b: np.ndarray, a: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """Chi-square of presence in b of n0 and a of n1 texts."""
+    b, a = b.astype(float), a.astype(float)
     n = n0 + n1
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * (n - a - b))
-    chi = np.nan_to_num(chi)
+        return np.nan_to_num(n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * (n - a - b)))
+
+
+def _select(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
+    """Features by chi-square of their presence against the label: counted in hashed buckets first, then exactly where a bucket stands out."""
+    n0, n1 = float((y == 0).sum()), float((y == 1).sum())
+    buckets: dict[bytes, np.ndarray] = {}
+    counts = np.zeros((2, BUCKETS), np.int32)
+    for own, label in zip(sets, y.tolist(), strict=True):
+        for w in own - buckets.keys():
+            buckets[w] = np.array([zlib.crc32(f) % BUCKETS for f in features(w)], np.int32)
+        if own:
+            counts[label][np.unique(np.concatenate([buckets[w] for w in own]))] += 1
+    good = (counts.sum(0) >= LEAST_DOCS) & (_chi(counts[0], counts[1], n0, n1) >= LEAST_CHI)
+    spelled = {w: [f for f, k in zip(features(w), good[at].tolist(), strict=True) if k] for w, at in buckets.items() if good[at].any()}
+    exact: dict[bytes, list[int]] = {}
+    for own, label in zip(sets, y.tolist(), strict=True):
+        for f in {f for w in own for f in spelled.get(w, ())}:
+            exact.setdefault(f, [0, 0])[label] += 1
+    names = [f for f, c in exact.items() if c[0] + c[1] >= LEAST_DOCS]
+    c = np.array([exact[f] for f in names], float).reshape(-1, 2)
+    chi = _chi(c[:, 0], c[:, 1], n0, n1)
     best = sorted((i for i in np.flatnonzero(chi >= LEAST_CHI).tolist()), key=lambda i: (-chi[i], names[i]))
     return [names[i] for i in best[:MOST_FEATURES]]
 
