@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SHARD_ROWS = 4096
 
 #: A-Z to a-z; digits, a-z and all bytes over 0x7F stay; every other byte is a space.
 FOLD = bytes((i | 32) if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
+def unknown(sets: list, known: dict) -> list:
+    """The distinct items of collections that are no keys of ``known``."""
+    return list(filterfalse(known.__contains__, set().union(*sets)))
+
+
 def words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a UTF-8 text."""
     return text.translate(FOLD).split()

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.arrow import FOLD, add_columns
+from meshwork.llm.arrow import FOLD, add_columns, unknown
 
 #: Bounds of the training sample: documents for each language (about), in all, bytes of a document, words and n-grams kept.
 PER_LANG = 1000
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
             if len(place) > most:
                 place.clear()
                 table = table[:0]
-            new = list(set().union(*words) - place.keys())
+            new = unknown(words, place)
             if new and model.langs:
                 place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
                 table = np.concatenate([table, np.array([model.word(w) for w in new], np.float32)])

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshwork.llm.arrow import shards
+from meshwork.llm.arrow import shards, unknown
 
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Runs of characters whose ids a Python worker remembers (about 200 bytes each).
-RUNS = 1_000_000
+RUNS = 800_000
 #: Words that are encoded as one text.
 JOINED = 256
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -51,7 +51,7 @@ class WordTokenizer:
     so many are encoded as one text and told apart by these ends.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, remember: int = RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,6 +60,7 @@ class WordTokenizer:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer, self.ids = Tokenizer.from_file(str(path)), {}
+        self.remember = remember
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -86,12 +87,12 @@ class WordTokenizer:
     def encode(self, texts: list[bytes | None], end: int = END_ID) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the id ``end``."""
         runs = [t.split() if t else [] for t in texts]
-        if len(self.ids) > RUNS:
+        if len(self.ids) > self.remember:
             self.ids.clear()
         ids = self.ids
         named = any(b"<|" in t for t in texts if t)  # names of special ids keep their case
         need, parts = set(), []
-        for r in set().union(*runs) - ids.keys():
+        for r in unknown(runs, ids):
             if r.isalpha() and r.islower():
                 need.add(r)
                 continue
@@ -109,8 +110,7 @@ class WordTokenizer:
                 need.add(marks)
             if word != r:
                 parts.append((r, word, marks))
-        need -= ids.keys()
-        if need:
+        if need := set(unknown([need], ids)):
             self._learn(need)
         for r, word, marks in parts:
             ids[r] = ids[word] + ids[marks] if marks else ids[word]
@@ -118,14 +118,14 @@ class WordTokenizer:
         return [b"".join(map(get, r)) + last for r in runs]
 
 
-_TOKENIZERS: dict[str | None, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str | None, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str | None) -> WordTokenizer:
+def tokenizer(path: str | None, remember: int = RUNS) -> WordTokenizer:
     """One for each vocabulary file and Python worker, which tasks share."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    if (path, remember) not in _TOKENIZERS:
+        _TOKENIZERS[path, remember] = WordTokenizer(path, remember)
+    return _TOKENIZERS[path, remember]
 
 
 def cost(n: float, linear: float = LINEAR, quadratic: float = QUADRATIC) -> float:
@@ -195,13 +195,13 @@ def finish(pieces: list[Piece], capacity: int = CAPACITY) -> list[list[Piece]]:
     return out
 
 
-def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC, shard_bytes: int = SHARD_BYTES, remember: int = RUNS) -> DataFrame:
     """Pack the documents into sequences of at most ``capacity`` tokens (a power of two).
 
     Returns a row for each piece: the kept columns of its document (default: all but the text), start, length, ids_crc32, doc_tokens,
     sequence_id, offset, sequence_tokens and sequence_cost. All sequences are full but those of a task's last few thousand tokens,
     whose lengths are powers of two; nothing is padded. Each task packs its own rows, so nothing is shuffled; a sequence's id holds
-    the number of its task.
+    the number of its task. A Python worker remembers the ids of up to ``remember`` runs of characters.
 
     Null or empty text: one piece with the end id alone. Repeated rows: packed each. Empty table: no rows. Columns named like a
     new one give way to it.
@@ -212,7 +212,7 @@ def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
     names = [*kept, *added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = tokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
+        encoder, sequence = tokenizer(tokenizer_path, remember), TaskContext.get().partitionId() << 32
         left: list[Piece] = []
         ids: list[bytes] = []
         held: pa.Table | None = None

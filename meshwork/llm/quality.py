@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.arrow import add_columns
+from meshwork.llm.arrow import add_columns, unknown
 from meshwork.llm.sample import PER_CLASS, collected, labelled
 
 BUCKETS = 1 << 20
@@ -69,7 +69,7 @@ def train(texts: list[bytes], y: list[int], *, odds: float | None = None, epochs
         if len(own) > TRAIN_WORDS:  # eight stretches, so that words keep their neighbours
             own = [w for i in np.linspace(0, len(own) - TRAIN_WORDS // 8, 8).astype(int).tolist() for w in own[i : i + TRAIN_WORDS // 8]]
         own = own + [AGAIN] * again(own)
-        for w in set(own) - known.keys():
+        for w in unknown([own], known):
             known[w] = np.array(features(w), np.int32)
         index, count = np.unique(np.concatenate([known[w] for w in own]) if own else np.zeros(0, np.int32), return_counts=True)
         rows.append((index, (count / max(1, count.sum())).astype(np.float32)))
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
             if len(sums) > CACHE:
                 sums.clear()
                 counts.clear()
-            for w in set().union(*words, (AGAIN,)) - sums.keys():
+            for w in unknown([*words, (AGAIN,)], sums):
                 f = features(w)
                 sums[w], counts[w] = float(weights[f].sum()), len(f)
             logits = [bias + (sum(map(sums.__getitem__, w)) + k * sums[AGAIN]) / max(1, sum(map(counts.__getitem__, w)) + k * counts[AGAIN]) for w, k in zip(words, twice, strict=True)]

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from meshwork.llm.arrow import add_columns, words
+from meshwork.llm.arrow import add_columns, unknown, words
 from meshwork.llm.sample import PER_CLASS, collected, labelled
 
 GRAMS = (4, 5, 6)
@@ -21,7 +21,7 @@ GRAMS = (4, 5, 6)
 MOST_FEATURES = 20_000
 LEAST_CHI = 15.0
 LEAST_DOCS = 3
-BUCKETS = 1 << 22
+BUCKETS = 1 << 21
 PENALTY = 1.0
 THRESHOLD = 0.7
 CACHE = 400_000
@@ -67,12 +67,16 @@ def _select(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     buckets: dict[bytes, np.ndarray] = {}
     counts = np.zeros((2, BUCKETS), np.int32)
     for own, label in zip(sets, y.tolist(), strict=True):
-        for w in own - buckets.keys():
+        for w in unknown([own], buckets):
             buckets[w] = np.array([zlib.crc32(f) % BUCKETS for f in features(w)], np.int32)
         if own:
             counts[label][np.unique(np.concatenate([buckets[w] for w in own]))] += 1
-    good = (counts.sum(0) >= LEAST_DOCS) & (_chi(counts[0], counts[1], n0, n1) >= LEAST_CHI)
+    some = np.flatnonzero(counts.sum(0) >= LEAST_DOCS)
+    good = np.zeros(BUCKETS, bool)
+    good[some] = _chi(counts[0][some], counts[1][some], n0, n1) >= LEAST_CHI
+    del counts
     spelled = {w: [f for f, k in zip(features(w), good[at].tolist(), strict=True) if k] for w, at in buckets.items() if good[at].any()}
+    buckets.clear()
     exact: dict[bytes, list[int]] = {}
     for own, label in zip(sets, y.tolist(), strict=True):
         for f in {f for w in own for f in spelled.get(w, ())}:
@@ -84,17 +88,20 @@ def _select(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     return [names[i] for i in best[:MOST_FEATURES]]
 
 
-def fresh(texts: list[bytes], y: list[int]) -> list[set[bytes]]:
-    """The words of each text's lines that no text of the same label before it holds: copies of a text don't make its words evidence."""
-    seen: set[tuple[bytes, int]] = set()
+def fresh(texts: list[bytes], y: list[int], one: dict[bytes, bytes]) -> list[set[bytes]]:
+    """The words of each text's lines that no text of the same label before it holds: copies of a text don't make its words evidence.
+
+    one: holds each word once, for all sets.
+    """
+    seen: set[tuple[int, int]] = set()
     out = []
     for text, label in zip(texts, y, strict=True):
         own: set[bytes] = set()
-        for line in set(text.split(b"\n")):
-            if (line, label) not in seen:
-                seen.add((line, label))
+        for line in text.split(b"\n"):
+            if (key := (hash(line), label)) not in seen:
+                seen.add(key)
                 own.update(words(line))
-        out.append(own)
+        out.append({one.setdefault(w, w) for w in own})
     return out
 
 
@@ -118,24 +125,25 @@ def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups:
     target, deal = np.array(y, int), np.random.default_rng(seed)
     if not texts or len(set(y)) < 2:
         return Model({}, 0.0)
-    sets = [set(words(t)) for t in texts]
+    one: dict[bytes, bytes] = {}
+    names = _select(fresh(texts, y, one), target)
+    sets = [{one.setdefault(w, w) for w in set(words(t))} for t in texts]
     others = [[s for _ in range(swaps) if (s := swapped(own, groups, deal))] for own in sets]
     known_terms = {t.encode() for g in groups for t in g}
-    names = _select(fresh(texts, y), target)
     seen = set(names)
     for t in sorted(known_terms & set().union(*sets, *(s for o in others for s in o))):
         if (f := b"<" + t + b">") not in seen:
             names.append(f)
     place = {f: i for i, f in enumerate(names)}
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, tuple[int, ...]] = {}
 
     def ids(own: set[bytes]) -> np.ndarray:
         out: set[int] = set()
         for w in own:
             if (got := known.get(w)) is None:
-                got = known[w] = [place[f] for f in features(w) if f in place]
+                got = known[w] = tuple(place[f] for f in features(w) if f in place)
             out.update(got)
-        return np.array(sorted(out), np.int64)
+        return np.array(sorted(out), np.int32)
 
     rows = [ids(s) for s in sets]
     pairs = [(i, ids(o)) for i, own in enumerate(others) for o in own]
@@ -144,6 +152,9 @@ def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups:
     if pairs:
         of = np.array([i for i, _ in pairs])
         index2, doc2 = np.concatenate([r for _, r in pairs]), np.repeat(np.arange(len(pairs)), [len(r) for _, r in pairs])
+    sets, others = [], []
+    known.clear()
+    one.clear()
     # classes weigh the same
     share = np.where(target == 1, 0.5 / (target == 1).sum(), 0.5 / (target == 0).sum())
     for _ in range(epochs * 10):
@@ -189,7 +200,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
             sets = [set(words(t)) if t else set() for t in texts]
             if len(known) > CACHE:
                 known.clear()
-            for w in set().union(*sets) - known.keys():
+            for w in unknown(sets, known):
                 known[w] = model.word(w)
             scores = list(map(one, sets))
             return [scores, [int(s >= threshold) for s in scores]]
