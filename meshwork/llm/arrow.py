@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import filterfalse
 
@@ -40,6 +41,14 @@ def shards(batch: pa.RecordBatch, column: int, limit: int, rows: int = SHARD_ROW
         yield batch.slice(start), texts.slice(start).to_pylist()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive tasks, and two of them share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def add_columns(
     docs: DataFrame, fields: str, make: Callable[[], Callable[[list[bytes | None]], list]], *, text_col: str = "text", keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
@@ -63,5 +72,7 @@ def add_columns(
             for part, texts in shards(batch, len(kept), shard_bytes, shard_rows):
                 made = [pa.array(v, type=t) for v, t in zip(work(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)
+        del work
+        give_back()
 
     return rows.mapInArrow(run, schema)

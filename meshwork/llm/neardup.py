@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.cut import cut
-from meshwork.kernels.wcc import components
+from meshwork.kernels.wcc import components, contract_once
 from meshwork.llm.arrow import add_columns, words
 
 SHINGLE = 5
@@ -179,8 +179,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     1. Documents of equal shingles and weights (similarity 1) are one node, under their least id; copies are not paired.
     2. Nodes meet in 25 bands of 5 registers (a pair at 0.8 misses all with probability 5e-5). In each bucket all pair with the bucket's
-       centre, the node that meets most others over its bands. Links are verified on whole texts, and joined into components.
-    3. In buckets that still hold several components, each node outside the largest meets the nodes of other components. Only pairs that
+       centre, the node that meets most others over its bands. Links are verified on whole texts, and contracted.
+    3. In buckets that still hold several labels, each node outside the largest meets the nodes of other labels. Only pairs that
        a finer sketch does not rule out (a pair at 0.8 is with probability 3e-5) leave that join, and are verified. After that, every
        pair that shares a bucket is in one component or ruled out.
 
@@ -204,7 +204,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     links = cut(_verify(pairs, texts, similarity))
-    label = components(links)
+    label = contract_once(links)
 
     named = shared.join(label.select(F.col("v").alias("node"), "component"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     mixed = named.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("m")).where("labels > 1").select("band", F.col("m.label").alias("main"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshwork.llm.arrow import shards, unknown
+from meshwork.llm.arrow import give_back, shards, unknown
 
 CAPACITY = 4096
 END_ID = 2
@@ -249,5 +249,7 @@ def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
                 yield from emit(table.select(list(range(len(kept)))), done)
         if held is not None:
             yield from emit(held.select(list(range(len(kept)))), finish(left, capacity))
+        held, ids = None, []
+        give_back()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *added.fields]))
