@@ -28,4 +28,4 @@ def number_rows(df: DataFrame, *order: Column | str, name: str = "idx") -> DataF
 
 def next_power_of_two(x: Column) -> Column:
     """The least power of two that is x or more."""
-    return F.when(x <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1).cast("bigint"), F.ceil(F.log2(x.cast("double"))).cast("int")))
+    return F.when(x <= 1, F.lit(1).cast("bigint")).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(x.cast("double")))).cast("bigint"))

@@ -196,8 +196,15 @@ class Txn:
         return self
 
     def execute(self) -> int:
+        """Publish one version, or raise and leave the store as it is; the transaction ends either way."""
         if self._done:
             raise IllegalOperation("the transaction has ended")
+        try:
+            return self._commit()
+        finally:
+            self.close()
+
+    def _commit(self) -> int:
         store, spark = self.store, self.store.spark
         now = store.version()
         new, manifest = now + 1, store._manifest(now)
@@ -229,7 +236,6 @@ class Txn:
         rows.select("version", edge_log.seq_of(F.col("op")).alias("seq"), "op", "src", "dst", "weight").write.mode("overwrite").parquet(f"{store.path}/edges/version={new}")
         vertices.select("v", F.lit(new).cast("bigint").alias("version")).write.mode("overwrite").parquet(f"{store.path}/vertices/version={new}")
         store._publish(new, {"edges": [*manifest["edges"], f"edges/version={new}"], "vertices": [*manifest["vertices"], f"vertices/version={new}"], "active": manifest["active"]})
-        self.close()
         return new
 
 
