@@ -28,6 +28,14 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, with underscores after it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shards(batch: pa.RecordBatch, column: int, limit: int, rows: int = SHARD_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of a batch with at most ``rows`` rows and ``limit`` bytes of text, or a single row; a null text is None."""
     texts = batch.column(column).cast(pa.large_binary())
@@ -59,7 +67,7 @@ def add_columns(
     """
     added = T.StructType.fromDDL(fields)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added.names]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(free("__text", kept)))
     schema = T.StructType([*rows.schema.fields[:-1], *added.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -38,7 +38,8 @@ def has_letter(text: bytes | None) -> bool:
 
 
 def grams(word: bytes, n: int) -> list[str]:
-    marked = f" {word.decode('utf-8', 'replace')[:60]} "
+    text = word.decode("utf-8", "replace")[:60]
+    marked = f" {text} " if n > 1 else text
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.cut import cut
+from meshwork.llm.arrow import free
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -37,15 +38,16 @@ def drop_boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str =
     count as pages each. A text may become empty; its row stays. Columns named n_lines or n_dropped give way.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    host, hidden, split, left = (free(n, kept) for n in ("__host", "__bad", "__lines", "__left"))
     found = cut(boilerplate(docs, text_col=text_col, host_col=host_col, max_ratio=max_ratio, min_pages=min_pages))
     small = found.count() <= broadcast_lines
-    bad = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list(F.struct("h", "g")).alias("__bad"))
+    bad = found.groupBy(F.col("host").alias(host)).agg(F.collect_list(F.struct("h", "g")).alias(hidden))
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
     text = F.col(f"`{text_col}`")
-    rows = rows.join(F.broadcast(bad) if small else bad, F.col(f"`{host_col}`") == F.col("__host"), "left")
+    rows = rows.join(F.broadcast(bad) if small else bad, F.col(f"`{host_col}`") == F.col(host), "left")
     lines = F.split(text, "\n", -1)
-    rows = rows.withColumn("__lines", lines).withColumn("__left", F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~x.rlike("[^ \\t\\r]") | ~F.array_contains(F.col("__bad"), _key(x)))))
+    rows = rows.withColumn(split, lines).withColumn(left, F.when(F.col(hidden).isNull(), F.col(split)).otherwise(F.filter(split, lambda x: ~x.rlike("[^ \\t\\r]") | ~F.array_contains(F.col(hidden), _key(x)))))
     count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     return rows.select(
-        *((F.when(F.size("__left") < F.size("__lines"), F.array_join("__left", "\n")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in kept), count("__lines").alias("n_lines"), (count("__lines") - count("__left")).alias("n_dropped")
+        *((F.when(F.size(left) < F.size(split), F.array_join(left, "\n")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in kept), count(split).alias("n_lines"), (count(split) - count(left)).alias("n_dropped")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from meshwork.cut import cut
 from meshwork.kernels.wcc import components, contract_once
-from meshwork.llm.arrow import add_columns, words
+from meshwork.llm.arrow import add_columns, free, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -232,5 +232,6 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose id is their class's; rows with a null id stay, and of rows with an equal id all do."""
-    gone = classes(docs, id_col=id_col, text_col=text_col, similarity=similarity).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    name = free("__gone", docs.columns)
+    gone = classes(docs, id_col=id_col, text_col=text_col, similarity=similarity).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(name))
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshwork.llm.arrow import give_back, shards, unknown
+from meshwork.llm.arrow import free, give_back, shards, unknown
 
 CAPACITY = 4096
 END_ID = 2
@@ -208,7 +208,7 @@ def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
     """
     added = T.StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added.names and (keep is not None or c != text_col)]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(free("__text", kept)))
     names = [*kept, *added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
                 place = {d: i for i, d in enumerate(docs_here)}
                 ids = [ids[d] for d in docs_here]
                 left = [(place[d], a, n) for d, a, n in left]
-                table = pa.Table.from_batches([part]).append_column("__row", pa.array(np.zeros(part.num_rows, np.int8)))
+                table = pa.Table.from_batches([part]).append_column(free("__row", part.schema.names), pa.array(np.zeros(part.num_rows, np.int8)))
                 if held is not None and docs_here:
                     table = pa.concat_tables([held.take(pa.array(docs_here, pa.int64())), table])
                 first = len(ids)
