@@ -195,13 +195,14 @@ def finish(pieces: list[Piece], capacity: int = CAPACITY) -> list[list[Piece]]:
     return out
 
 
-def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC, shard_bytes: int = SHARD_BYTES, remember: int = RUNS) -> DataFrame:
+def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC, shard_bytes: int = SHARD_BYTES, remember: int = RUNS, between_tasks: bool = True) -> DataFrame:
     """Pack the documents into sequences of at most ``capacity`` tokens (a power of two).
 
     Returns a row for each piece: the kept columns of its document (default: all but the text), start, length, ids_crc32, doc_tokens,
     sequence_id, offset, sequence_tokens and sequence_cost. All sequences are full but those of a task's last few thousand tokens,
     whose lengths are powers of two; nothing is padded. Each task packs its own rows, so nothing is shuffled; a sequence's id holds
-    the number of its task. A Python worker remembers the ids of up to ``remember`` runs of characters.
+    the number of its task. A Python worker remembers the ids of up to ``remember`` runs of characters,
+    and forgets them after each task if not ``between_tasks``.
 
     Null or empty text: one piece with the end id alone. Repeated rows: packed each. Empty table: no rows. Columns named like a
     new one give way to it.
@@ -250,6 +251,8 @@ def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
         if held is not None:
             yield from emit(held.select(list(range(len(kept)))), finish(left, capacity))
         held, ids = None, []
+        if not between_tasks:
+            encoder.ids.clear()
         give_back()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *added.fields]))
