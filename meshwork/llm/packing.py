@@ -23,9 +23,9 @@ from meshwork.llm.arrow import free, give_back, shards, unknown
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 #: Runs of characters whose ids a Python worker remembers (about 200 bytes each).
-RUNS = 800_000
+RUNS = 1_200_000
 #: Words that are encoded as one text.
 JOINED = 256
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
