@@ -8,10 +8,11 @@ register. Registers of two texts agree with the probability Jaccard similarity o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.cut import cut
@@ -30,6 +31,10 @@ MOST_FINE_BITS = 141
 #: Ids of candidates up to this number (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Bytes of text that are hashed at once, and rows that a Python worker gets at once: its arrays are some 40 times that text.
+SHARD_BYTES = 1 << 20
+BATCH_ROWS = 1000
+
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -126,7 +131,7 @@ def _signature_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
         return work
 
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return add_columns(rows, "k1 long, k2 long, bands array<long>, s1 long, s2 long", make, keep=["id"])
+    return add_columns(rows, "k1 long, k2 long, bands array<long>, s1 long, s2 long", make, keep=["id"], shard_bytes=SHARD_BYTES)
 
 
 def _fine_columns(texts: DataFrame) -> DataFrame:
@@ -142,7 +147,7 @@ def _fine_columns(texts: DataFrame) -> DataFrame:
 
         return work
 
-    return add_columns(texts, ", ".join(f"f{k} long" for k in range(FINE // 64)), make, keep=["id"], shard_rows=1024)
+    return add_columns(texts, ", ".join(f"f{k} long" for k in range(FINE // 64)), make, keep=["id"], shard_bytes=SHARD_BYTES, shard_rows=512)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -174,6 +179,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(check, f"src {kind}, dst {kind}")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, plans hand Python workers at most ``rows`` rows at once; the session's own setting holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(id_col, class_id, n_links): the near-duplicate class of each document, which is its least id, and the verified links of the document's representative.
 
@@ -187,6 +204,19 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Documents without words (null, empty) are classes of their own. Rows with an equal id are one document: they should hold one text, and the result
     has one row for them. Rows with a null id are left out. Empty table: no rows.
     """
+    with small_batches(docs.sparkSession, BATCH_ROWS):  # all stages with Python workers run here, in cut()
+        seen, reps, links = _linked(docs, id_col, text_col, similarity, broadcast_ids)
+    label = components(links)
+
+    degree = links.select(F.col("src").alias("v")).unionByName(links.select(F.col("dst").alias("v"))).groupBy("v").agg(F.count("*").alias("n_links"))
+    of_rep = reps.join(label.select(F.col("v").alias("node"), "component"), "node", "left").join(degree.select(F.col("v").alias("node"), "n_links"), "node", "left")
+    of_rep = of_rep.select("k1", "k2", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    members = seen.select("id", "k1", "k2").join(of_rep, ["k1", "k2"], "left").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    return members.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, broadcast_ids: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all documents, a representative for each set of shingles, and the verified links between these."""
     seen = cut(_signature_columns(docs, id_col, text_col))
     reps = seen.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("node"))
     nodes = cut(seen.join(reps.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
@@ -220,14 +250,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     more = out.join(open_rows, "band").where((F.col("cl") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("c") < F.col("node"))) & (unlike <= MOST_FINE_BITS) & first).select(F.greatest("c", "node").alias("a"), F.least("c", "node").alias("b"))
     tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = cut(more.join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(cut(_verify(rest, texts, similarity)))
-    label = components(links)
-
-    degree = links.select(F.col("src").alias("v")).unionByName(links.select(F.col("dst").alias("v"))).groupBy("v").agg(F.count("*").alias("n_links"))
-    of_rep = reps.join(label.select(F.col("v").alias("node"), "component"), "node", "left").join(degree.select(F.col("v").alias("node"), "n_links"), "node", "left")
-    of_rep = of_rep.select("k1", "k2", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    members = seen.select("id", "k1", "k2").join(of_rep, ["k1", "k2"], "left").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    return members.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return seen, reps, links.unionByName(cut(_verify(rest, texts, similarity)))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
