@@ -34,7 +34,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed sequences: a row for each piece of a document."""
-    return packing.pack(docs, keep=["doc_id"], remember=300_000, between_tasks=False)
+    return packing.pack(docs, keep=["doc_id"], remember=300_000, between_tasks=False, shard_bytes=4 << 20)
 
 
 def _sized(docs: DataFrame, changed) -> DataFrame:
