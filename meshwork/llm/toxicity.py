@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from meshwork.llm.arrow import add_columns, unknown, words
+from meshwork.llm.arrow import add_columns, give_back, unknown, words
 from meshwork.llm.sample import PER_CLASS, collected, labelled
 
 GRAMS = (4, 5, 6)
@@ -61,25 +61,30 @@ def _chi(b: np.ndarray, a: np.ndarray, n0: float, n1: float) -> np.ndarray:
         return np.nan_to_num(n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * (n - a - b)))
 
 
-def _select(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
-    """Features by chi-square of their presence against the label: counted in hashed buckets first, then exactly where a bucket stands out."""
+def _select(rows: list[np.ndarray], spelling: list[bytes], y: np.ndarray) -> list[bytes]:
+    """Features by chi-square of their presence against the label: counted in hashed buckets first, then exactly where a bucket stands out.
+
+    rows: each text's words as numbers; spelling: the word of each number.
+    """
     n0, n1 = float((y == 0).sum()), float((y == 1).sum())
-    buckets: dict[bytes, np.ndarray] = {}
+    # the buckets of all words in one array, those of word k from bounds[k] on
+    bounds = np.concatenate([[0], np.cumsum([len(features(w)) for w in spelling], dtype=np.int64)])
+    buckets = np.fromiter((zlib.crc32(f) % BUCKETS for w in spelling for f in features(w)), np.int32, int(bounds[-1]))
     counts = np.zeros((2, BUCKETS), np.int32)
-    for own, label in zip(sets, y.tolist(), strict=True):
-        for w in unknown([own], buckets):
-            buckets[w] = np.array([zlib.crc32(f) % BUCKETS for f in features(w)], np.int32)
-        if own:
-            counts[label][np.unique(np.concatenate([buckets[w] for w in own]))] += 1
+    for own, label in zip(rows, y.tolist(), strict=True):
+        if len(own):
+            counts[label][np.unique(np.concatenate([buckets[bounds[k] : bounds[k + 1]] for k in own.tolist()]))] += 1
     some = np.flatnonzero(counts.sum(0) >= LEAST_DOCS)
     good = np.zeros(BUCKETS, bool)
     good[some] = _chi(counts[0][some], counts[1][some], n0, n1) >= LEAST_CHI
     del counts
-    spelled = {w: [f for f, k in zip(features(w), good[at].tolist(), strict=True) if k] for w, at in buckets.items() if good[at].any()}
-    buckets.clear()
+    chosen = good[buckets]
+    spelled = {}
+    for k in np.unique(np.searchsorted(bounds, np.flatnonzero(chosen), side="right") - 1).tolist():
+        spelled[k] = [f for f, g in zip(features(spelling[k]), chosen[bounds[k] : bounds[k + 1]].tolist(), strict=True) if g]
     exact: dict[bytes, list[int]] = {}
-    for own, label in zip(sets, y.tolist(), strict=True):
-        for f in {f for w in own for f in spelled.get(w, ())}:
+    for own, label in zip(rows, y.tolist(), strict=True):
+        for f in {f for k in own.tolist() for f in spelled.get(k, ())}:
             exact.setdefault(f, [0, 0])[label] += 1
     names = [f for f, c in exact.items() if c[0] + c[1] >= LEAST_DOCS]
     c = np.array([exact[f] for f in names], float).reshape(-1, 2)
@@ -88,11 +93,13 @@ def _select(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     return [names[i] for i in best[:MOST_FEATURES]]
 
 
-def fresh(texts: list[bytes], y: list[int], one: dict[bytes, bytes]) -> list[set[bytes]]:
-    """The words of each text's lines that no text of the same label before it holds: copies of a text don't make its words evidence.
+def numbered(own: set[bytes], numbers: dict[bytes, int]) -> np.ndarray:
+    """Words as numbers in ascending order; ``numbers`` grows by the new ones."""
+    return np.array(sorted(numbers.setdefault(w, len(numbers)) for w in own), np.int32)
 
-    one: holds each word once, for all sets.
-    """
+
+def fresh(texts: list[bytes], y: list[int], numbers: dict[bytes, int]) -> list[np.ndarray]:
+    """The words of each text's lines that no text of the same label before it holds: copies of a text don't make its words evidence."""
     seen: set[tuple[int, int]] = set()
     out = []
     for text, label in zip(texts, y, strict=True):
@@ -101,12 +108,12 @@ def fresh(texts: list[bytes], y: list[int], one: dict[bytes, bytes]) -> list[set
             if (key := (hash(line), label)) not in seen:
                 seen.add(key)
                 own.update(words(line))
-        out.append({one.setdefault(w, w) for w in own})
+        out.append(numbered(own, numbers))
     return out
 
 
 def swapped(own: set[bytes], groups: list[list[str]], deal: np.random.Generator) -> set[bytes] | None:
-    """The text's words with each identity term put for another of its group; None if it has no such term."""
+    """The words with each identity term put for another of its group; None if there is no such term."""
     out, any_term = set(own), False
     for group in groups:
         terms = [t.encode() for t in group]
@@ -121,52 +128,63 @@ def swapped(own: set[bytes], groups: list[list[str]], deal: np.random.Generator)
 
 
 def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups: list[list[str]] = IDENTITY, epochs: int = 30, rate: float = 0.3, decay: float = 1e-4, swaps: int = 3, seed: int = 0) -> Model:
-    """Adaptive gradient descent on the logistic loss plus penalty * (logit - counterfactual logit)^2, averaged over ``swaps`` counterfactuals."""
+    """Adaptive gradient descent on the logistic loss plus penalty * (logit - counterfactual logit)^2, averaged over ``swaps`` counterfactuals.
+
+    Of a counterfactual only the features are held in which it differs from its text.
+    """
     target, deal = np.array(y, int), np.random.default_rng(seed)
     if not texts or len(set(y)) < 2:
         return Model({}, 0.0)
-    one: dict[bytes, bytes] = {}
-    names = _select(fresh(texts, y, one), target)
-    sets = [{one.setdefault(w, w) for w in set(words(t))} for t in texts]
-    others = [[s for _ in range(swaps) if (s := swapped(own, groups, deal))] for own in sets]
+    numbers: dict[bytes, int] = {}
+    lines = fresh(texts, y, numbers)
+    names = _select(lines, list(numbers), target)
+    del lines
+    sets = [numbered(set(words(t)), numbers) for t in texts]
+    spelling = list(numbers)
     known_terms = {t.encode() for g in groups for t in g}
+    term_numbers = {numbers[t] for t in known_terms if t in numbers}
+    terms = [{spelling[k] for k in term_numbers.intersection(own.tolist())} for own in sets]
+    others = [[s for _ in range(swaps) if (s := swapped(own, groups, deal))] for own in terms]
     seen = set(names)
-    for t in sorted(known_terms & set().union(*sets, *(s for o in others for s in o))):
+    for t in sorted(set().union(*terms, *(s for o in others for s in o))):
         if (f := b"<" + t + b">") not in seen:
             names.append(f)
     place = {f: i for i, f in enumerate(names)}
-    known: dict[bytes, tuple[int, ...]] = {}
-
-    def ids(own: set[bytes]) -> np.ndarray:
-        out: set[int] = set()
-        for w in own:
-            if (got := known.get(w)) is None:
-                got = known[w] = tuple(place[f] for f in features(w) if f in place)
-            out.update(got)
-        return np.array(sorted(out), np.int32)
-
-    rows = [ids(s) for s in sets]
-    pairs = [(i, ids(o)) for i, own in enumerate(others) for o in own]
+
+    def ids(w: bytes) -> tuple[int, ...]:
+        return tuple(place[f] for f in features(w) if f in place)
+
+    known = [ids(w) for w in spelling]
+    by_term = {t: ids(t) for t in known_terms}
+    rows, of, index2, doc2, sign = [], [], [], [], []
+    for i, (own, here, more) in enumerate(zip(sets, terms, others, strict=True)):
+        full = {f for k in own.tolist() for f in known[k]}
+        rows.append(np.array(sorted(full), np.int32))
+        if more:
+            plain = {f for k in own.tolist() if spelling[k] not in here for f in known[k]}
+            for s in more:
+                other = plain.union(*(by_term[t] for t in s))
+                for found, way in ((full - other, 1.0), (other - full, -1.0)):
+                    index2 += sorted(found)
+                    doc2 += [len(of)] * len(found)
+                    sign += [way] * len(found)
+                of.append(i)
+    del sets, terms, others, known, spelling, numbers
     w, bias, square, square_bias = np.zeros(len(names)), 0.0, np.full(len(names), 1e-6), 1e-6
     index, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), list(map(len, rows)))
-    if pairs:
-        of = np.array([i for i, _ in pairs])
-        index2, doc2 = np.concatenate([r for _, r in pairs]), np.repeat(np.arange(len(pairs)), [len(r) for _, r in pairs])
-    sets, others = [], []
-    known.clear()
-    one.clear()
+    index2, doc2, sign = np.array(index2, np.int64), np.array(doc2, np.int64), np.array(sign, float)
+    count = len(rows)
+    del rows
     # classes weigh the same
     share = np.where(target == 1, 0.5 / (target == 1).sum(), 0.5 / (target == 0).sum())
     for _ in range(epochs * 10):
-        z = np.bincount(doc, w[index], len(rows)) + bias
+        z = np.bincount(doc, w[index], count) + bias
         back = share * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target)
         g_bias = back.sum()
-        if pairs:
-            change = (z[of] - bias - np.bincount(doc2, w[index2], len(pairs))) * 2 * penalty / len(pairs)
-            back = back + np.bincount(of, change, len(rows))
         g = np.bincount(index, back[doc], len(names)) + decay * w
-        if pairs:
-            g -= np.bincount(index2, change[doc2], len(names))
+        if of:
+            change = np.bincount(doc2, w[index2] * sign, len(of)) * 2 * penalty / len(of)
+            g += np.bincount(index2, change[doc2] * sign, len(names))
         square += g * g
         square_bias += g_bias * g_bias
         w -= rate * g / np.sqrt(square)
@@ -176,7 +194,9 @@ def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups:
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, per_class: int = PER_CLASS, penalty: float = PENALTY) -> Model:
     """A model from at most ``per_class`` documents of either label, none of them of ``held_out``."""
-    return train(*collected(labelled(docs, labels, label, id_col=id_col, text_col=text_col, held_out=held_out, per_class=per_class), per_class), penalty=penalty)
+    model = train(*collected(labelled(docs, labels, label, id_col=id_col, text_col=text_col, held_out=held_out, per_class=per_class), per_class), penalty=penalty)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
