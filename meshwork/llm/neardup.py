@@ -23,9 +23,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 BANDS, ROWS = 25, 5
-#: Of 128 one-bit registers, how many may differ: similarity 0.8 gives 12.8 +- 3.4, so a pair beyond is under it but for a few in a million.
+#: Of 128 one-bit registers, how many may differ: similarity 0.8 gives 12.8 +- 3.4, so a pair at it is beyond with probability 8e-6.
 MOST_BITS = 29
-#: The same of the finer sketch that nodes of open buckets get: 1024 one-bit registers differ in 102.4 +- 9.6.
+#: The same of the finer sketch that nodes of open buckets get: 1024 one-bit registers differ in 102.4 +- 9.6 (beyond: 5e-5).
 FINE = 1024
 MOST_FINE_BITS = 141
 #: Ids of candidates up to this number (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
@@ -90,6 +90,11 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, count:
     return holder.reshape(count, registers)
 
 
+def coins(held: np.ndarray) -> np.ndarray:
+    """One-bit registers (text, register): a bit of each register's element, another for the same element in another register."""
+    return mix(held ^ mix(np.arange(held.shape[1], dtype=np.uint64))) & np.uint64(1)
+
+
 def prob_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact probability Jaccard of two texts, each (sorted hashes, weights)."""
     both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
@@ -121,7 +126,7 @@ def _signature_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
             rows = held[:, : BANDS * ROWS].reshape(n, BANDS, ROWS)
             for r in range(ROWS):
                 bands = mix(bands + rows[:, :, r])
-            bits = (mix(held) & np.uint64(1)).reshape(n, 2, 64)
+            bits = coins(held).reshape(n, 2, 64)
             sketch = (bits * power).sum(2, dtype=np.uint64).view(np.int64)
             none = ~some
             mask = none.tolist()
@@ -142,7 +147,7 @@ def _fine_columns(texts: DataFrame) -> DataFrame:
 
         def work(texts: list[bytes | None]) -> list:
             doc, element, weight = shingles([words(t) if t else [] for t in texts])
-            bits = mix(signatures(doc, element, weight, len(texts), FINE)) & np.uint64(1)
+            bits = coins(signatures(doc, element, weight, len(texts), FINE))
             return (bits.reshape(len(texts), FINE // 64, 64) * power).sum(2, dtype=np.uint64).view(np.int64).T.tolist()
 
         return work
@@ -198,7 +203,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     2. Nodes meet in 25 bands of 5 registers (a pair at 0.8 misses all with probability 5e-5). In each bucket all pair with the bucket's
        centre, the node that meets most others over its bands. Links are verified on whole texts, and contracted.
     3. In buckets that still hold several labels, each node outside the largest meets the nodes of other labels. Only pairs that
-       a finer sketch does not rule out (a pair at 0.8 is with probability 3e-5) leave that join, and are verified. After that, every
+       a finer sketch does not rule out (a pair at 0.8 is with probability 5e-5) leave that join, and are verified. After that, every
        pair that shares a bucket is in one component or ruled out.
 
     Documents without words (null, empty) are classes of their own. Rows with an equal id are one document: they should hold one text, and the result

@@ -1,4 +1,10 @@
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from meshwork.llm import neardup
+
+from .test_operators import frame, prob_jaccard, shingled
 
 
 def test_pipeline_drops_lines_far_under_a_tenth_of_a_source(spark):
@@ -6,3 +12,25 @@ def test_pipeline_drops_lines_far_under_a_tenth_of_a_source(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
     assert got == {i: t.replace("\nmenu", "") for i, t in enumerate(texts)}
+
+
+def short_pairs(count):
+    """Texts 2k and 2k + 1 have 8 and 9 words and share four of five shingles."""
+    long = [" ".join(f"p{k}w{j}" for j in range(9)) for k in range(count)]
+    return [t for x in long for t in (x.rsplit(" ", 1)[0], x)]
+
+
+@pytest.mark.parametrize(("registers", "most"), [(neardup.REGISTERS, neardup.MOST_BITS), (neardup.FINE, neardup.MOST_FINE_BITS)])
+def test_sketches_keep_short_pairs(registers, most):
+    texts = short_pairs(1500)
+    assert prob_jaccard(shingled(texts[0]), shingled(texts[1])) == pytest.approx(0.8)
+    held = neardup.signatures(*neardup.shingles([t.encode().split() for t in texts]), len(texts), registers)
+    bits = neardup.coins(held)
+    unlike = (bits[::2] != bits[1::2]).sum(1)
+    assert abs(unlike.mean() / registers - 0.1) < 0.01 and (unlike > most).sum() == 0
+    assert abs(bits.mean() - 0.5) < 0.01
+
+
+def test_neardup_links_short_pairs(spark):
+    found = neardup.classes(frame(spark, short_pairs(300))).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i // 2 * 2 for i in range(600)}
