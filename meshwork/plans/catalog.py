@@ -278,6 +278,47 @@ def intersect_neighbourhood(spark, sf):
     return g.intersect(pairs)
 
 
+# --- the same reads of all vertices, pairs and edges
+
+_ALL_PROBES = _PROBES.replace(" WHERE src % 3 = 0", "")
+
+
+def _all_probes(spark, sf, g):
+    return _probes(spark, sf, g).unionByName(g.edges.where("src < dst").select("src", "dst")).distinct()
+
+
+@query(f"WITH {G2}, {_ALL_PROBES} SELECT pr.src, pr.dst, e.src IS NOT NULL AS present FROM pr LEFT JOIN e ON e.src = pr.src AND e.dst = pr.dst")
+def has_edge_all(spark, sf):
+    g = fx.g2(spark, sf)
+    return g.has_edges(_all_probes(spark, sf, g))
+
+
+@query(f"WITH {G2}, {_ALL_PROBES} SELECT src, dst, round(w, 6) AS weight FROM pr JOIN e USING (src, dst)")
+def get_weight_all(spark, sf):
+    g = fx.g2(spark, sf)
+    return g.weights(_all_probes(spark, sf, g)).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {G2} SELECT src, dst FROM e")
+def neighbours_of_all(spark, sf):
+    g = fx.g2(spark, sf)
+    return g.neighbours(g.vertices).select("src", "dst")
+
+
+@query(f"WITH {G2} SELECT src, dst, round(w, 6) AS weight FROM e")
+def neighbours_weighted_all(spark, sf):
+    g = fx.g2(spark, sf)
+    return g.neighbours(g.vertices).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {G2}, p AS (SELECT DISTINCT a.src AS a, b.dst AS b FROM e a JOIN e b ON a.dst = b.src WHERE a.src < b.dst) SELECT p.a, p.b, x.dst AS v FROM p JOIN e x ON x.src = p.a JOIN e y ON y.src = p.b AND y.dst = x.dst")
+def intersect_neighbourhood_all(spark, sf):
+    g = fx.g2(spark, sf)
+    far = g.edges.select(F.col("src").alias("m"), F.col("dst").alias("b"))
+    pairs = g.edges.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(far, "m").where("a < b").select("a", "b").distinct()
+    return g.intersect(pairs)
+
+
 # --- kernels: the oracle carries the full state of each round
 
 def _spread(init: str, step: str, cap: int = 60) -> str:

@@ -3,7 +3,9 @@ import pytest
 
 import corpus_pipeline
 from meshwork.llm import neardup
+from meshwork.plans import catalog, fixtures
 
+from ..oracle import DATA
 from .test_operators import frame, prob_jaccard, shingled
 
 
@@ -34,3 +36,18 @@ def test_sketches_keep_short_pairs(registers, most):
 def test_neardup_links_short_pairs(spark):
     found = neardup.classes(frame(spark, short_pairs(300))).collect()
     assert {r.doc_id: r.class_id for r in found} == {i: i // 2 * 2 for i in range(600)}
+
+
+def test_reads_of_all_ids(spark):
+    g = fixtures.g2(spark, DATA)
+    edges = {(r.src, r.dst) for r in g.edges.collect()}
+    ask = lambda name: catalog.QUERIES[name](spark, DATA).collect()
+    for name in ("neighbours_of_all", "neighbours_weighted_all"):
+        assert sorted((r.src, r.dst) for r in ask(name)) == sorted(edges)
+    assert edges >= {(r.src, r.dst) for r in ask("has_edge_all") if r.present} >= {e for e in edges if e[0] < e[1]}
+    assert {(r.src, r.dst) for r in ask("get_weight_all")} >= {e for e in edges if e[0] < e[1]}
+    by = {}
+    for a, b in edges:
+        by.setdefault(a, set()).add(b)
+    expected = {(a, b, m) for m, near in by.items() for a in near for b in near if a < b}
+    assert {(r.a, r.b, r.v) for r in ask("intersect_neighbourhood_all")} == expected
