@@ -7,7 +7,9 @@ is known: four, then three, two and one.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,8 @@ MOST_GRAMS = 60_000
 LONGEST = 4
 #: Bytes of word scores that a task remembers.
 CACHE_BYTES = 8 << 20
+#: n-grams of a word whose scores are summed at once.
+PIECE = 4096
 #: Bytes that are not part of words: ASCII but letters.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in FOLD)
 
@@ -37,10 +41,11 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and (text.translate(LETTERS).translate(None, b" ").translate(None, bytes(range(128, 256))) != b"" or any(map(str.isalpha, text.decode("utf-8"))))
 
 
-def grams(word: bytes, n: int) -> list[str]:
-    text = word.decode("utf-8", "replace")[:60]
+def grams(word: bytes, n: int) -> Iterator[str]:
+    """The n-grams of the whole word, between marks if n > 1."""
+    text = word.decode("utf-8", "replace")
     marked = f" {text} " if n > 1 else text
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+    return (marked[i : i + n] for i in range(len(marked) - n + 1))
 
 
 @dataclass
@@ -53,9 +58,13 @@ class Model:
         if (known := self.words.get(w)) is not None:
             return known
         for n, table in self.levels:
-            found = [v for g in grams(w, n) if (v := table.get(g)) is not None]
-            if found:
-                return np.mean(found, 0)
+            found = (v for g in grams(w, n) if (v := table.get(g)) is not None)
+            total, count = np.zeros(len(self.langs)), 0
+            while part := list(islice(found, PIECE)):
+                total += np.sum(part, 0)
+                count += len(part)
+            if count:
+                return total / count
         return np.zeros(len(self.langs))
 
 

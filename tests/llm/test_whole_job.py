@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from meshwork.llm import neardup
+from meshwork.llm import langid, neardup
 from meshwork.plans import catalog, fixtures
 
 from ..oracle import DATA
@@ -51,3 +51,10 @@ def test_reads_of_all_ids(spark):
         by.setdefault(a, set()).add(b)
     expected = {(a, b, m) for m, near in by.items() for a in near for b in near if a < b}
     assert {(r.a, r.b, r.v) for r in ask("intersect_neighbourhood_all")} == expected
+
+
+def test_language_of_a_long_word_is_of_all_of_it(spark):
+    en, fr = "the cat sat then that this with".split(), "dans maison leur cette avec pour chat".split()
+    model = langid.train([" ".join(en).encode(), " ".join(fr).encode()] * 3, ["en", "fr"] * 3)
+    texts = ["\u00a0".join(en * 3 + fr * 2000), "\u2014".join(fr * 3 + en * 2000)]
+    assert [r.lang_pred for r in langid.identify(frame(spark, texts), model).orderBy("doc_id").collect()] == ["fr", "en"]
