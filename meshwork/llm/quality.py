@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from operator import eq
 
 import numpy as np
@@ -24,17 +26,22 @@ DIM = 8
 GRAMS = (2, 3)
 #: Words of a document that training draws, evenly over all of it; scoring takes all.
 TRAIN_WORDS = 400
+#: Words that a task remembers, and bytes of them; bytes of buckets that training remembers; buckets of a word that are summed at once.
 CACHE = 400_000
+CACHE_BYTES = 32 << 20
+KNOWN_BYTES = 128 << 20
+PIECE = 4096
 #: What a word that equals the one before it adds; with white space, so no text holds it.
 AGAIN = b" again"
 #: Training documents that must hold a feature; the vectors of others are zero, so unseen words add nothing but their known n-grams.
 LEAST_DOCS = 3
 
 
-def features(word: bytes, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> list[int]:
-    """Buckets of a word (its raw form, cut at 40 bytes for n-grams alone) and of the n-grams of it between marks."""
-    marked = b"<" + word[:40] + b">"
-    return [zlib.crc32(b"w" + word) % buckets, *(zlib.crc32(marked[i : i + n]) % buckets for n in grams for i in range(len(marked) - n + 1))]
+def features(word: bytes, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> Iterator[int]:
+    """Buckets of a word (its raw form) and of the n-grams of all of it between marks."""
+    marked = b"<" + word + b">"
+    yield zlib.crc32(b"w" + word) % buckets
+    yield from (zlib.crc32(marked[i : i + n]) % buckets for n in grams for i in range(len(marked) - n + 1))
 
 
 @dataclass
@@ -64,13 +71,18 @@ def train(texts: list[bytes], y: list[int], *, odds: float | None = None, epochs
         return model
     rows = []
     known: dict[bytes, np.ndarray] = {}
+    held = 0
     for t in texts:
+        if held > KNOWN_BYTES:
+            known.clear()
+            held = 0
         own = t.split()
         if len(own) > TRAIN_WORDS:  # eight stretches, so that words keep their neighbours
             own = [w for i in np.linspace(0, len(own) - TRAIN_WORDS // 8, 8).astype(int).tolist() for w in own[i : i + TRAIN_WORDS // 8]]
         own = own + [AGAIN] * again(own)
         for w in unknown([own], known):
-            known[w] = np.array(features(w), np.int32)
+            known[w] = np.fromiter(features(w), np.int32)
+            held += known[w].nbytes
         index, count = np.unique(np.concatenate([known[w] for w in own]) if own else np.zeros(0, np.int32), return_counts=True)
         rows.append((index, (count / max(1, count.sum())).astype(np.float32)))
     docs = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS)
@@ -124,16 +136,23 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
         weights, bias = sent.value
         sums: dict[bytes, float] = {}
         counts: dict[bytes, int] = {}
+        held = 0
 
         def work(texts: list[bytes | None]) -> list:
+            nonlocal held
             words = [t.split() if t else [] for t in texts]
             twice = list(map(again, words))
-            if len(sums) > CACHE:
+            if len(sums) > CACHE or held > CACHE_BYTES:
                 sums.clear()
                 counts.clear()
+                held = 0
             for w in unknown([*words, (AGAIN,)], sums):
-                f = features(w)
-                sums[w], counts[w] = float(weights[f].sum()), len(f)
+                total, count, found = 0.0, 0, features(w)
+                while f := list(islice(found, PIECE)):
+                    total += float(weights[f].sum())
+                    count += len(f)
+                sums[w], counts[w] = total, count
+                held += len(w)
             logits = [bias + (sum(map(sums.__getitem__, w)) + k * sums[AGAIN]) / max(1, sum(map(counts.__getitem__, w)) + k * counts[AGAIN]) for w, k in zip(words, twice, strict=True)]
             scores = [1 / (1 + math.exp(-max(-60.0, min(60.0, z)))) for z in logits]
             return [scores, [int(s >= threshold) for s in scores]]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,10 @@ LEAST_DOCS = 3
 BUCKETS = 1 << 21
 PENALTY = 1.0
 THRESHOLD = 0.7
+#: Words that a task remembers, and bytes of them and their features (about). Words of more than LONG bytes: training makes their features anew each time.
 CACHE = 400_000
+CACHE_BYTES = 128 << 20
+LONG = 1000
 
 #: Identity terms by group; a counterfactual puts another term of the same group in a term's place.
 IDENTITY = [
@@ -38,10 +42,15 @@ IDENTITY = [
 ]
 
 
-def features(word: bytes) -> list[bytes]:
-    """The word between marks (as it is, over 40 bytes too) and the character n-grams of its first 40 bytes between marks."""
-    marked = b"<" + word[:40] + b">"
-    return [b"<" + word + b">", *(marked[i : i + n] for n in GRAMS if n < len(marked) for i in range(len(marked) - n + 1))]
+def features(word: bytes) -> Iterator[bytes]:
+    """The word between marks and the character n-grams of all of that."""
+    marked = b"<" + word + b">"
+    yield marked
+    yield from (marked[i : i + n] for n in GRAMS if n < len(marked) for i in range(len(marked) - n + 1))
+
+
+def _buckets(word: bytes) -> Iterator[int]:
+    return (zlib.crc32(f) % BUCKETS for f in features(word))
 
 
 @dataclass
@@ -67,13 +76,14 @@ def _select(rows: list[np.ndarray], spelling: list[bytes], y: np.ndarray) -> lis
     rows: each text's words as numbers; spelling: the word of each number.
     """
     n0, n1 = float((y == 0).sum()), float((y == 1).sum())
-    # the buckets of all words in one array, those of word k from bounds[k] on
-    bounds = np.concatenate([[0], np.cumsum([len(features(w)) for w in spelling], dtype=np.int64)])
-    buckets = np.fromiter((zlib.crc32(f) % BUCKETS for w in spelling for f in features(w)), np.int32, int(bounds[-1]))
+    # the buckets of all words but long ones in one array, those of word k from bounds[k] on
+    bounds = np.concatenate([[0], np.cumsum([sum(1 for _ in features(w)) if len(w) <= LONG else 0 for w in spelling], dtype=np.int64)])
+    buckets = np.fromiter((b for w in spelling if len(w) <= LONG for b in _buckets(w)), np.int32, int(bounds[-1]))
+    of = lambda k: buckets[bounds[k] : bounds[k + 1]] if len(spelling[k]) <= LONG else np.fromiter(_buckets(spelling[k]), np.int32)
     counts = np.zeros((2, BUCKETS), np.int32)
     for own, label in zip(rows, y.tolist(), strict=True):
         if len(own):
-            counts[label][np.unique(np.concatenate([buckets[bounds[k] : bounds[k + 1]] for k in own.tolist()]))] += 1
+            counts[label][np.unique(np.concatenate([of(k) for k in own.tolist()]))] += 1
     some = np.flatnonzero(counts.sum(0) >= LEAST_DOCS)
     good = np.zeros(BUCKETS, bool)
     good[some] = _chi(counts[0][some], counts[1][some], n0, n1) >= LEAST_CHI
@@ -82,6 +92,10 @@ def _select(rows: list[np.ndarray], spelling: list[bytes], y: np.ndarray) -> lis
     spelled = {}
     for k in np.unique(np.searchsorted(bounds, np.flatnonzero(chosen), side="right") - 1).tolist():
         spelled[k] = [f for f, g in zip(features(spelling[k]), chosen[bounds[k] : bounds[k + 1]].tolist(), strict=True) if g]
+    same: dict[bytes, bytes] = {}
+    for k, w in enumerate(spelling):
+        if len(w) > LONG:
+            spelled[k] = list({same.setdefault(f, f) for f, b in zip(features(w), _buckets(w), strict=True) if good[b]})
     exact: dict[bytes, list[int]] = {}
     for own, label in zip(rows, y.tolist(), strict=True):
         for f in {f for k in own.tolist() for f in spelled.get(k, ())}:
@@ -152,7 +166,7 @@ def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups:
     place = {f: i for i, f in enumerate(names)}
 
     def ids(w: bytes) -> tuple[int, ...]:
-        return tuple(place[f] for f in features(w) if f in place)
+        return tuple({place[f] for f in features(w) if f in place})
 
     known = [ids(w) for w in spelling]
     by_term = {t: ids(t) for t in known_terms}
@@ -207,7 +221,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        model, known = sent.value, {}
+        model, known, held = sent.value, {}, 0
 
         def one(own: set[bytes]) -> float:
             found: set[bytes] = set()
@@ -217,11 +231,14 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
             return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
         def work(texts: list[bytes | None]) -> list:
+            nonlocal held
             sets = [set(words(t)) if t else set() for t in texts]
-            if len(known) > CACHE:
+            if len(known) > CACHE or held > CACHE_BYTES:
                 known.clear()
+                held = 0
             for w in unknown(sets, known):
                 known[w] = model.word(w)
+                held += len(w) + 50 * len(known[w])
             scores = list(map(one, sets))
             return [scores, [int(s >= threshold) for s in scores]]
 

@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from meshwork.llm import langid, neardup
+from meshwork.llm import langid, neardup, quality, toxicity
 from meshwork.plans import catalog, fixtures
 
 from ..oracle import DATA
@@ -58,3 +60,24 @@ def test_language_of_a_long_word_is_of_all_of_it(spark):
     model = langid.train([" ".join(en).encode(), " ".join(fr).encode()] * 3, ["en", "fr"] * 3)
     texts = ["\u00a0".join(en * 3 + fr * 2000), "\u2014".join(fr * 3 + en * 2000)]
     assert [r.lang_pred for r in langid.identify(frame(spark, texts), model).orderBy("doc_id").collect()] == ["fr", "en"]
+
+
+@pytest.mark.parametrize("op", [quality, toxicity])
+def test_scorers_read_all_of_a_long_word(spark, op):
+    deal = random.Random(3)
+    vocab = ["".join(deal.choices("abcdefgh", k=6)) for _ in range(60)]
+    line = lambda *more: " ".join([*deal.sample(vocab, 8), *more])
+    model = op.train([line("zyxwvut").encode() for _ in range(40)] + [line().encode() for _ in range(40)], [1] * 40 + [0] * 40)
+    far = "\u00a0".join(deal.sample(vocab, 40))
+    plain, marked = (r.score for r in op.score(frame(spark, [far, far + "zyxwvut" * 40]), model).orderBy("doc_id").collect())
+    assert marked > plain + 0.2
+
+
+@pytest.mark.parametrize("op", [quality, toxicity])
+def test_training_reads_all_of_long_words(spark, op):
+    deal = random.Random(3)
+    word = lambda n: "日".join("".join(deal.choices("abcdefgh", k=6)) for _ in range(n))
+    far = lambda y: (word(300) + ("zyxwvut" * 40 if y else "") + word(5)).replace(" ", "").replace("日", "\u00a0").encode()
+    model = op.train([far(1) for _ in range(30)] + [far(0) for _ in range(30)], [1] * 30 + [0] * 30)
+    a, b = (r.score for r in op.score(frame(spark, [far(1).decode(), far(0).decode()]), model).orderBy("doc_id").collect())
+    assert a > 0.5 > b and a > b + 0.2
