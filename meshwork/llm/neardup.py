@@ -12,11 +12,11 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.cut import cut
-from meshwork.kernels.wcc import components, contract_once
+from meshwork.kernels.wcc import components
 from meshwork.llm.arrow import add_columns, free, words
 
 SHINGLE = 5
@@ -28,8 +28,12 @@ MOST_BITS = 29
 #: The same of the finer sketch that nodes of open buckets get: 1024 one-bit registers differ in 102.4 +- 9.6 (beyond: 5e-5).
 FINE = 1024
 MOST_FINE_BITS = 141
-#: Ids of candidates up to this number (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Keys of candidates up to this number (32 bytes each, whatever the type of the ids) are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Nodes outside a bucket's largest component that are compared with all of the bucket in the first round, about; then four times as many in each.
+CENTRES = 16
+#: Salts that a bucket is dealt over when drawn nodes meet it.
+SALTS = 8
 
 #: Bytes of text that are hashed at once, and rows that a Python worker gets at once: its arrays are some 40 times that text.
 SHARD_BYTES = 1 << 20
@@ -108,8 +112,14 @@ def prob_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarr
     return out
 
 
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """i1, d1, d2: 192 bits of a row's id and text, by which its text is found again; nulls have a key too."""
+    text = F.col(f"`{text_col}`")
+    return [F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("i1"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(7), text).alias("d2")]
+
+
 def _signature_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k1, k2, bands, s1, s2): a 128-bit key of the shingles and weights, band hashes, one-bit registers; nulls without words."""
+    """(id, i1, d1, d2, k1, k2, bands, s1, s2): the row's key, a 128-bit key of the shingles and weights, band hashes, one-bit registers; nulls without words."""
 
     def make():
         power = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -135,12 +145,12 @@ def _signature_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
 
         return work
 
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return add_columns(rows, "k1 long, k2 long, bands array<long>, s1 long, s2 long", make, keep=["id"], shard_bytes=SHARD_BYTES)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *_row_key(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
+    return add_columns(rows, "k1 long, k2 long, bands array<long>, s1 long, s2 long", make, keep=["id", "i1", "d1", "d2"], shard_bytes=SHARD_BYTES)
 
 
 def _fine_columns(texts: DataFrame) -> DataFrame:
-    """(id, f0, f1, ...): one-bit registers of FINE, 64 in each column."""
+    """(node, f0, f1, ...): one-bit registers of FINE, 64 in each column."""
 
     def make():
         power = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -152,17 +162,20 @@ def _fine_columns(texts: DataFrame) -> DataFrame:
 
         return work
 
-    return add_columns(texts, ", ".join(f"f{k} long" for k in range(FINE // 64)), make, keep=["id"], shard_bytes=SHARD_BYTES, shard_rows=512)
+    return add_columns(texts, ", ".join(f"f{k} long" for k in range(FINE // 64)), make, keep=["node"], shard_bytes=SHARD_BYTES, shard_rows=512)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those (src, dst) whose texts' probability Jaccard is ``similarity`` or more. Rows come in the order of a."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    """Links (src, dst) among pairs (a, b, bl): texts whose probability Jaccard is ``similarity`` or more, one link at most for each a and label bl.
+
+    One link joins a with all that bl names, so once it is found the other pairs of (a, bl) in the task are not compared.
+    """
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "bl", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
+        last, known, done = None, None, set()
 
         def sets(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             _, h, w = shingles([words(text)])
@@ -170,18 +183,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             return h[order], w[order]
 
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = (batch.column(k).cast(pa.large_binary()) for k in (2, 3))
+            a, label = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ta, tb = (batch.column(k).cast(pa.large_binary()) for k in (3, 4))
             hit = []
             for i, x in enumerate(a):
-                if x != last:
+                if x != last:  # rows come in the order of a
                     last, known = x, sets(ta[i].as_py())
-                hit.append(prob_jaccard(known, sets(tb[i].as_py())) >= similarity - 1e-12)
+                    done.clear()
+                linked = label[i] not in done and prob_jaccard(known, sets(tb[i].as_py())) >= similarity - 1e-12
+                if linked:
+                    done.add(label[i])
+                hit.append(linked)
             keep = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["src", "dst"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(check, f"src {kind}, dst {kind}")
+    return rows.mapInArrow(check, "src long, dst long")
 
 
 @contextmanager
@@ -196,70 +212,129 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """(id_col, class_id, n_links): the near-duplicate class of each document, which is its least id, and the verified links of the document's representative.
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, broadcast_ids: int, centres: int) -> DataFrame:
+    """(id, row, i1, d1, d2, node, class, n_links) of each row of docs: its node and class by row numbers; null without words."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):  # all stages with Python workers run here, in cut()
+        seen, reps, label, links = _linked(docs, id_col, text_col, similarity, broadcast_ids, centres)
+    degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    of_rep = reps.join(label, "node", "left").join(degree, "node", "left").select("k1", "k2", "node", F.coalesce("label", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return seen.select("id", "row", "i1", "d1", "d2", "k1", "k2").join(of_rep, ["k1", "k2"], "left").drop("k1", "k2")
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, broadcast_ids: int = BROADCAST_IDS, centres: int = CENTRES) -> DataFrame:
+    """(id_col, class_id, n_links): for each row its near-duplicate class, named by its least id, and the verified links of the node it belongs to.
 
-    1. Documents of equal shingles and weights (similarity 1) are one node, under their least id; copies are not paired.
+    1. Rows of equal shingles and weights (similarity 1) are one node; copies are not paired.
     2. Nodes meet in 25 bands of 5 registers (a pair at 0.8 misses all with probability 5e-5). In each bucket all pair with the bucket's
-       centre, the node that meets most others over its bands. Links are verified on whole texts, and contracted.
-    3. In buckets that still hold several labels, each node outside the largest meets the nodes of other labels. Only pairs that
-       a finer sketch does not rule out (a pair at 0.8 is with probability 5e-5) leave that join, and are verified. After that, every
-       pair that shares a bucket is in one component or ruled out.
+       centre, the node that meets most others over its bands. Links are verified on whole texts, and contracted to components.
+    3. Buckets that hold several components go on in rounds. Of the nodes outside a bucket's largest component ``centres`` (about, four times as
+       many in each further round) are drawn; each meets the bucket's nodes of other components that a finer sketch does not
+       rule out (a pair at 0.8 is with probability 5e-5), is linked with each such component at most once, and is settled: all of its
+       pairs are decided. Components are contracted, until no bucket holds two with an open node.
 
-    Documents without words (null, empty) are classes of their own. Rows with an equal id are one document: they should hold one text, and the result
-    has one row for them. Rows with a null id are left out. Empty table: no rows.
+    So a group whose members are near one another costs a few pairs for each member. Only nodes that share a bucket, look alike to the sketch and
+    are no near-duplicates are compared pair by pair. Of a component just the links that contract it are verified, not all pairs.
+
+    Rows without words (null, empty) are classes of their own, named by their id. Rows with an equal or a null id are told apart. A class without any id has a
+    null class_id. Empty table: no rows.
     """
-    with small_batches(docs.sparkSession, BATCH_ROWS):  # all stages with Python workers run here, in cut()
-        seen, reps, links = _linked(docs, id_col, text_col, similarity, broadcast_ids)
-    label = components(links)
-
-    degree = links.select(F.col("src").alias("v")).unionByName(links.select(F.col("dst").alias("v"))).groupBy("v").agg(F.count("*").alias("n_links"))
-    of_rep = reps.join(label.select(F.col("v").alias("node"), "component"), "node", "left").join(degree.select(F.col("v").alias("node"), "n_links"), "node", "left")
-    of_rep = of_rep.select("k1", "k2", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    members = seen.select("id", "k1", "k2").join(of_rep, ["k1", "k2"], "left").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    return members.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, broadcast_ids: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures of all documents, a representative for each set of shingles, and the verified links between these."""
-    seen = cut(_signature_columns(docs, id_col, text_col))
-    reps = seen.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    nodes = cut(seen.join(reps.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
-    rows = nodes.select(F.posexplode("bands").alias("place", "band"), F.col("id").alias("node"), "s1", "s2")
+    rows = cut(_classes(docs, id_col, text_col, similarity, broadcast_ids, centres))
+    least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"))
+    out = rows.join(least, "class", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, broadcast_ids: int, centres: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, a node for each set of shingles, the component (node, label) of linked nodes, and the verified links."""
+    seen = cut(_signature_columns(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    reps = seen.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("row").alias("node"))
+    nodes = cut(seen.join(reps.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "i1", "d1", "d2", "bands", "s1", "s2"))
+    rows = nodes.select(F.posexplode("bands").alias("place", "band"), "node", "s1", "s2")
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(rows.join(sizes, "band"))
     met = shared.groupBy("node").agg(F.sum("n").alias("met"))
     ranked = shared.join(met, "node")
-    centres = ranked.groupBy("band").agg(F.max(F.struct("met", F.col("node").alias("c"), F.col("s1").alias("c1"), F.col("s2").alias("c2"))).alias("m")).select("band", "m.c", "m.c1", "m.c2")
+    middle = ranked.groupBy("band").agg(F.max(F.struct("met", F.col("node").alias("c"), F.col("s1").alias("c1"), F.col("s2").alias("c2"))).alias("m")).select("band", "m.c", "m.c1", "m.c2")
     near = F.bit_count(F.col("s1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("c2"))) <= MOST_BITS
-    pairs = cut(shared.join(centres, "band").where((F.col("c") != F.col("node")) & near).select(F.col("c").alias("a"), F.col("node").alias("b")).distinct())
-
-    ids = cut(shared.select(F.col("node").alias("id")).distinct())
-    few = ids.count() <= broadcast_ids
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
-    texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    links = cut(_verify(pairs, texts, similarity))
-    label = contract_once(links)
-
-    named = shared.join(label.select(F.col("v").alias("node"), "component"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("m")).where("labels > 1").select("band", F.col("m.label").alias("main"))
-    open_rows = cut(named.join(mixed, "band").select("band", "place", "node", "label", "main"))
-    open_ids = cut(open_rows.select(F.col("node").alias("id")).distinct())
-    fine = cut(_fine_columns(texts.join(F.broadcast(open_ids) if few else open_ids, "id", "left_semi")))
-    open_nodes = fine.join(nodes.select("id", "bands"), "id").withColumnRenamed("id", "node")
-    open_rows = open_rows.join(open_nodes, "node")
+    pairs = cut(shared.join(middle, "band").where((F.col("c") != F.col("node")) & near).select(F.col("c").alias("a"), F.col("node").alias("b")).distinct())
+
+    keys = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "i1", "d1", "d2"))
+    texts = _texts(docs, keys, id_col, text_col, broadcast_ids)
+    links = cut(_verify(pairs.withColumn("bl", F.col("b")), texts, similarity))
+    label = components(links).select(F.col("v").alias("node"), F.col("component").alias("label"))
+    tried, open_rows = pairs, None
+    while True:
+        open_rows = _open(shared.select("band", "place", "node") if open_rows is None else open_rows, label)
+        if open_rows.isEmpty():
+            return seen, reps, label, links
+        if tried is pairs:
+            fine_of = _fine_columns(_texts(docs, keys.join(open_rows.select("node").distinct(), "node", "left_semi"), id_col, text_col, broadcast_ids))
+            fine = cut(fine_of.join(nodes.select("node", "bands"), "node"))
+        drawn = cut(open_rows.where((F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("outside")) < centres)).select("node").distinct())
+        found = cut(_met(open_rows, drawn, fine).join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        more = cut(_verify(found, texts, similarity))
+        label, links = _merged(label, more), links.unionByName(more)
+        open_rows = open_rows.join(drawn, "node", "left_anti").select("band", "place", "node")
+        tried, centres = tried.unionByName(found.select("a", "b")), 4 * centres
+
+
+def _texts(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
+    """(node, text) of nodes (node, i1, d1, d2); rows repeated with id and text give one."""
+    few = keys.limit(broadcast_ids + 1).count() <= broadcast_ids
+    rows = docs.select(*_row_key(id_col, text_col), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
+    return rows.join(F.broadcast(keys) if few else keys, ["i1", "d1", "d2"]).select("node", "text").dropDuplicates(["node"])
+
+
+def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """(band, place, node, label, main, outside) of the buckets in ``rows`` that hold several components: main is the largest, outside counts the nodes of others."""
+    named = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("labels"), F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("m"))
+    mixed = mixed.where("labels > 1").select("band", F.col("m.label").alias("main"), (F.col("k") - F.col("m.k")).alias("outside"))
+    return cut(named.join(mixed, "band"))
+
+
+def _met(rows: DataFrame, drawn: DataFrame, fine: DataFrame) -> DataFrame:
+    """Pairs (a, b, bl) of a drawn node and a node of another component that share a bucket and that the fine sketch does not rule out.
+
+    A pair leaves the first band that it shares. Buckets are dealt over salts, drawn nodes copied to each.
+    """
     parts = range(FINE // 64)
-    out = open_rows.where("label <> main").select("band", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("bands").alias("cbands"), *(F.col(f"f{k}").alias(f"g{k}") for k in parts))
+    wide = rows.select("band", "place", "node", "label").join(fine, "node").join(drawn.withColumn("is_drawn", F.lit(True)), "node", "left").withColumn("is_drawn", F.coalesce("is_drawn", F.lit(False)))
+    c = wide.where("is_drawn").select("band", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("bands").alias("cbands"), *(F.col(f"f{k}").alias(f"g{k}") for k in parts), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    wide = wide.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int"))
     unlike = sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}"))) for k in parts), F.lit(0))
-    first = ~F.arrays_overlap(F.slice("bands", F.lit(1), F.col("place")), F.slice("cbands", F.lit(1), F.col("place")))  # a pair leaves the first band that it shares
-    more = out.join(open_rows, "band").where((F.col("cl") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("c") < F.col("node"))) & (unlike <= MOST_FINE_BITS) & first).select(F.greatest("c", "node").alias("a"), F.least("c", "node").alias("b"))
-    tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = cut(more.join(tried, ["a", "b"], "left_anti"))
-    return seen, reps, links.unionByName(cut(_verify(rest, texts, similarity)))
+    first = ~F.arrays_overlap(F.slice("bands", F.lit(1), F.col("place")), F.slice("cbands", F.lit(1), F.col("place")))
+    once = ~F.col("is_drawn") | (F.col("c") < F.col("node"))
+    met = c.join(wide, ["band", "salt"]).where((F.col("cl") != F.col("label")) & once & (unlike <= MOST_FINE_BITS) & first)
+    down = F.col("c") > F.col("node")  # a is the greater; its partner's component is bl
+    return met.select(F.greatest("c", "node").alias("a"), F.least("c", "node").alias("b"), F.when(down, F.col("label")).otherwise(F.col("cl")).alias("bl"))
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after further links: their ends' components are contracted, which are far fewer than nodes."""
+    ends = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    at = lambda side: ends.select(F.col("node").alias(side), F.col("label").alias(f"{side}_l"))
+    joined = components(links.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_l").alias("src"), F.col("dst_l").alias("dst"))).select(F.col("v").alias("label"), F.col("component").alias("now"))
+    every = label.unionByName(ends).distinct()
+    return cut(every.join(joined, "label", "left").select("node", F.coalesce("now", "label").alias("label")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose id is their class's; rows with a null id stay, and of rows with an equal id all do."""
-    name = free("__gone", docs.columns)
-    gone = classes(docs, id_col=id_col, text_col=text_col, similarity=similarity).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(name))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
+    """One row of each near-duplicate class, that of its least id (null ids last); rows without words all stay.
+
+    Rows with an equal or a null id are told apart by their texts; of rows with an equal id and text one stays. Columns and values stay as they are.
+    """
+    rows = cut(_classes(docs, id_col, text_col, similarity, BROADCAST_IDS, CENTRES).where("class IS NOT NULL").select("id", "row", "i1", "d1", "d2", "class"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "i1", "d1", "d2")).alias("m")
+    stays = rows.groupBy("class").agg(first).select("class", "m.row", F.col("m.i1").alias("s0"), F.col("m.d1").alias("s1"), F.col("m.d2").alias("s2"))
+    others = rows.join(stays.withColumnRenamed("row", "stay"), "class").where("row <> stay")
+    same = (F.col("i1") == F.col("s0")) & (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2"))
+    others = cut(others.select("i1", "d1", "d2", same.alias("again")).distinct())
+    names = [free(f"__{n}", docs.columns) for n in ("i1", "d1", "d2")]
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(_row_key(id_col, text_col), names, strict=True)))
+    on = lambda other: [F.col(n) == other[k] for n, k in zip(names, ("i1", "d1", "d2"), strict=True)]
+    gone, again = others.where("NOT again"), others.where("again")
+    left = keyed.join(gone, on(gone), "left_anti")
+    if not again.isEmpty():  # rows repeated with id and text
+        left = left.join(again, on(again), "left_anti").unionByName(left.join(again, on(again), "left_semi").dropDuplicates(names))
+    return left.drop(*names)
