@@ -36,6 +36,12 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def without(columns: list[str], names: list[str]) -> list[str]:
+    """The columns but those that new ones of these names take the place of; Spark's names differ by more than case."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def shards(batch: pa.RecordBatch, column: int, limit: int, rows: int = SHARD_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of a batch with at most ``rows`` rows and ``limit`` bytes of text, or a single row; a null text is None."""
     texts = batch.column(column).cast(pa.large_binary())
@@ -58,17 +64,20 @@ def give_back() -> None:
 
 
 def add_columns(
-    docs: DataFrame, fields: str, make: Callable[[], Callable[[list[bytes | None]], list]], *, text_col: str = "text", keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS
+    docs: DataFrame, fields: str, make: Callable[[], Callable[..., list]], *, text_col: str = "text", also: list[str] | None = None, keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """``docs`` with further columns made from its text, a row for each row.
 
-    make: called once in each task; what it returns gets the UTF-8 texts of a shard and returns a list of values for each field.
-    keep: the columns that stay (default: all). Of those, any with the name of a new field give way to it.
+    make: called once in each task; what it returns gets the UTF-8 texts of a shard, and the shard's values of each column of ``also``, and returns a
+    list of values for each field.
+    keep: the columns that stay (default: all). Of those, any with the name of a new field, in whatever case, give way to it.
     """
     added = T.StructType.fromDDL(fields)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in added.names]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(free("__text", kept)))
-    schema = T.StructType([*rows.schema.fields[:-1], *added.fields])
+    kept = without(docs.columns if keep is None else keep, added.names)
+    also = also or []
+    text = free("__text", kept)
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(text), *(F.col(f"`{c}`").alias(f"{text}{i}") for i, c in enumerate(also)))
+    schema = T.StructType([*rows.schema.fields[: len(kept)], *added.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = [f.type for f in to_arrow_schema(added)]
@@ -78,8 +87,8 @@ def add_columns(
         work = make()
         for batch in batches:
             for part, texts in shards(batch, len(kept), shard_bytes, shard_rows):
-                made = [pa.array(v, type=t) for v, t in zip(work(texts), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)
+                made = [pa.array(v, type=t) for v, t in zip(work(texts, *(c.to_pylist() for c in part.columns[len(kept) + 1 :])), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=names)
         del work
         give_back()
 

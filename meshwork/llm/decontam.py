@@ -8,17 +8,22 @@ searched backward through its ranks, all at once, and their rows located by walk
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.arrow import add_columns, words
+from meshwork.cut import cut
+from meshwork.llm.arrow import add_columns, free, words
 
 WINDOW = 10
-#: Test phrases are collected and broadcast in blocks of about this many bytes.
+#: Test phrases are collected and broadcast in blocks of about this many bytes, one at a time.
 BLOCK_BYTES = 4 << 20
+#: What earlier blocks found is broadcast up to so many bytes; more is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 SAMPLE = 8
 
 
@@ -122,9 +127,9 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Phrases:
     """The windows of a block of test items, deduplicated, as ids of their own vocabulary."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             m = min(window, len(ids))
@@ -135,7 +140,7 @@ class Phrases:
         self.groups = []
         for m in sorted({len(p) for p in found}):
             own = [p for p in found if len(p) == m]
-            self.groups.append((m, np.array(own, np.int32), [sorted(found[p]) for p in own]))
+            self.groups.append((m, np.array(own, np.int32), [sorted(found[p] - {None}) for p in own]))
 
     def scan(self, texts: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
         """For each text's words: merged spans [start, end) of words in occurring windows, and the items they are from."""
@@ -198,46 +203,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The test items, collected block by block of about ``block_bytes``; their number follows the measured size."""
-    items = benchmark.select(F.col(f"`{item_id_col}`").cast("string").alias("id"), F.col(f"`{item_text_col}`").cast("binary").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-total // block_bytes))
-    if n == 1:
-        return [[(r["id"], bytes(r["text"])) for r in items.collect()]]
-    return [[(r["id"], bytes(r["text"])) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect()] for k in range(n)]
+def _block(items: DataFrame, k: int, n: int) -> list[tuple[str | None, bytes]]:
+    return [(r["id"], bytes(r["text"])) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()]
 
 
-def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, clean: bool = False
-) -> DataFrame:
-    """Find the windows of ``window`` consecutive words of test items in documents (shorter items: the whole item).
+def _make(sent: Broadcast, window: int, clean: bool) -> Callable:
+    """For add_columns: the fields of ``decontaminate`` for texts, with the spans and items of earlier blocks."""
 
-    Returns a row for each row of ``docs`` with: n_words; n_hit, words inside any occurrence; spans, the merged word
-    ranges [start, end) to remove; items, the sorted ids (as strings) of items with occurring windows; and, with
-    ``clean``, clean_text, the text without those spans. Nothing is shuffled; each task indexes its own shards. Items
-    beyond ``block_bytes`` are searched in blocks, one pass each.
+    def make():
+        phrases = Phrases(sent.value, window)
 
-    Null text: no words, clean_text null. Empty benchmark, items without words or without id: no hits. Repeated rows of
-    either table: each document row is judged by itself, equal items count once. Columns of ``docs`` named like a new
-    one give way to it.
-    """
-    spark: SparkSession = docs.sparkSession
-    own = blocks(benchmark, item_id_col, item_text_col, block_bytes)
-    kept = [c for c in (docs.columns if keep is None else keep)]
-    fields = "n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>" + ", clean_text string" * clean
-    sent = [spark.sparkContext.broadcast(b) for b in own]
-
-    def make(window: int = window):
-        phrases = [Phrases(b.value, window) for b in sent]
-
-        def work(texts: list[bytes | None]) -> list:
+        def work(texts: list[bytes | None], *earlier: list) -> list:
             tokens = [words(t) if t else [] for t in texts]
-            spans, items = phrases[0].scan(tokens)
-            for p in phrases[1:]:
-                more, others = p.scan(tokens)
-                spans = [merged(a + b) for a, b in zip(spans, more, strict=True)]
-                items = [a | b for a, b in zip(items, others, strict=True)]
+            spans, items = phrases.scan(tokens)
+            if earlier:
+                spans = [merged(a + [(x["start"], x["end"]) for x in b or ()]) for a, b in zip(spans, earlier[0], strict=True)]
+                items = [a.union(b or ()) for a, b in zip(items, earlier[1], strict=True)]
             out = [list(map(len, tokens)), [sum(b - a for a, b in s) for s in spans], [[{"start": a, "end": b} for a, b in s] for s in spans], [sorted(i) for i in items]]
             if clean:
                 out.append([t if t is None or not s else cut_spans(t, s) for t, s in zip(texts, spans, strict=True)])
@@ -245,4 +226,54 @@ def decontaminate(
 
         return work
 
-    return add_columns(docs, fields, make, text_col=text_col, keep=kept)
+    return make
+
+
+def _earlier(docs: DataFrame, items: DataFrame, n: int, text_col: str, window: int) -> DataFrame:
+    """(d1, d2, spans, items) of the texts with hits in all blocks but the first, by 128 bits of the text. Blocks are collected, sent and dropped one by one."""
+    spark, out = docs.sparkSession, None
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(7), text).alias("d2"), text.alias("text"))
+    for k in range(1, n):
+        sent = spark.sparkContext.broadcast(_block(items, k, n))
+        found = cut(add_columns(keyed, FIELDS, _make(sent, window, False), keep=["d1", "d2"]).where("n_hit > 0").groupBy("d1", "d2").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+        sent.destroy()  # what was found lies in shared storage
+        out = found if out is None else out.unionByName(found)
+    return cut(out.groupBy("d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+
+
+FIELDS = "n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, broadcast_bytes: int = BROADCAST_BYTES, clean: bool = False
+) -> DataFrame:
+    """Find the windows of ``window`` consecutive words of test items in documents (shorter items: the whole item).
+
+    Returns a row for each row of ``docs`` with: n_words; n_hit, words inside any occurrence; spans, the merged word
+    ranges [start, end) to remove; items, the sorted ids (as strings) of items with occurring windows; and, with
+    ``clean``, clean_text, the text without those spans. Each task indexes its own shards. Items beyond ``block_bytes`` are
+    searched in blocks, one pass over ``docs`` each: a block is collected, broadcast and dropped before the next one, and what the
+    passes find is met by keys of the texts with hits. With one block nothing is shuffled.
+
+    Null text: no words, clean_text null. Empty benchmark, items without words: no hits. Items with a null id hit words but are not listed.
+    Repeated rows of either table: each document row is judged by itself, equal items count once. Columns of ``docs`` named like a new
+    one give way to it.
+    """
+    kept = docs.columns if keep is None else keep
+    items = benchmark.select(F.col(f"`{item_id_col}`").cast("string").alias("id"), F.col(f"`{item_text_col}`").cast("binary").alias("text")).where("text IS NOT NULL").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, -(-total // block_bytes))
+    if n > 1:
+        items = cut(items)
+    rows, also = docs, None
+    if n > 1:
+        found = _earlier(docs, items, n, text_col, window)
+        size = found.agg(F.sum(32 + 16 * F.size("spans") + F.octet_length(F.array_join("items", ",")))).first()[0] or 0
+        text = F.col(f"`{text_col}`")
+        d1, d2, spans, own = (free(x, docs.columns) for x in ("__d1", "__d2", "__spans", "__items"))
+        found = found.select(F.col("d1").alias(d1), F.col("d2").alias(d2), F.col("spans").alias(spans), F.col("items").alias(own))
+        rows = docs.join(F.broadcast(found) if size <= broadcast_bytes else found, (F.xxhash64(text) == F.col(d1)) & (F.xxhash64(F.lit(7), text) == F.col(d2)), "left")
+        also = [spans, own]
+    sent = docs.sparkSession.sparkContext.broadcast(_block(items, 0, n))
+    return add_columns(rows, FIELDS + ", clean_text string" * clean, _make(sent, window, clean), text_col=text_col, also=also, keep=kept)
