@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.arrow import add_columns
+from meshwork.llm.arrow import add_columns, without
 from meshwork.llm.sample import PER_CLASS, labelled
 
 WINDOW = 8
@@ -204,7 +204,7 @@ def judge(docs: DataFrame, rules: list[Rule], *, text_col: str = "text", keep: l
     Null or empty text: no words, so base_failed. No rules (no labels): kept is the base's verdict. Repeated rows are judged each. Columns
     named like a new one give way.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("base_failed", "kept")]
+    kept = without(docs.columns if keep is None else keep, ["base_failed", "kept"])
     rows = with_stats(docs, text_col=text_col, keep=kept)
     rows = rows.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     return rows.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(rules)))
