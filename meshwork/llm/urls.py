@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.cut import cut
+from meshwork.llm.arrow import without
 
 #: Hex digits of the digest that the join is on (32 bits).
 SHORT = 8
-#: Rules up to this number are broadcast (about 200 bytes each).
-BROADCAST_RULES = 50_000
+#: Rules of up to so many bytes are broadcast (twice their text and RULE_BYTES each).
+BROADCAST_BYTES = 16 << 20
+RULE_BYTES = 200
 #: Copies of each rule, and salts of the urls, when rules are joined by a shuffle: a host with a third of all rows is dealt over them.
 SALTS = 32
 
@@ -30,10 +32,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", keep: list[str] | None = None, default: str = "allow", broadcast_rules: int = BROADCAST_RULES, salts: int = SALTS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", keep: list[str] | None = None, default: str = "allow", broadcast_bytes: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
     """Judge urls by rules (host, path, verdict): a rule fits its host and all its subdomains where the path starts with the rule's.
 
-    Each url is expanded into its host suffixes by its path prefixes (of the lengths that rules have); the expressions' SHA-256 meet
+    Each url is expanded into its host suffixes (of the numbers of labels that rules have) by its path prefixes (of the lengths that rules have); the expressions' SHA-256 meet
     the rules' on their first digits, then on the whole digest. Of the fitting rules the longest (host and path) wins, then the
     longer host, then block over allow. Returns the kept columns (default: all), host, path, rule (null if none fits) and verdict
     (``default`` if none).
@@ -41,18 +43,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", keep
     Null url or one without ``://``: empty host and path, no rule. Repeated rows are judged each; repeated rules count once. Rules
     with a null are ignored; no rules: all get the default. Columns named like a new one give way to it.
     """
-    kept = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict")]
-    good = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select(F.concat("host", "path").alias("r"), F.length("host").alias("hl"), "path", "verdict").distinct()
+    kept = without(pages.columns if keep is None else keep, ["host", "path", "rule", "verdict"])
+    good = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select(F.concat("host", "path").alias("r"), F.length("host").alias("hl"), F.size(F.split("host", "\\.", -1)).alias("labels"), "path", "verdict").distinct()
+    counts = sorted(r[0] for r in good.select("labels").distinct().collect())  # distinct numbers of labels of rules' hosts, and below
     lengths = sorted(r[0] for r in good.select(F.length("path")).distinct().collect())  # distinct lengths of rules' paths: bounded by the longest url
     good = good.select(F.substring(F.sha2("r", 256), 1, SHORT).alias("rshort"), F.sha2("r", 256).alias("rdigest"), F.struct(F.length("r").alias("n"), "hl", F.when(F.col("verdict") == "block", 1).otherwise(0).alias("b"), "r", "verdict").alias("hit"))
-    small = good.limit(broadcast_rules + 1).count() <= broadcast_rules
+    small = (good.agg(F.sum(2 * F.octet_length("hit.r") + RULE_BYTES)).first()[0] or 0) <= broadcast_bytes
 
     host, path = host_and_path(F.col(f"`{url_col}`"))
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("rid"))
     if not small:
         rows = cut(rows)  # row ids must not change between two shuffles
     labels = F.split("host", "\\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.filter(F.array(*(F.when(F.size(labels) >= k, F.array_join(F.slice(labels, F.size(labels) - (k - 1), F.lit(k)), ".")) for k in counts)), lambda s: s.isNotNull()) if counts else F.array().cast("array<string>")
     prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
     exprs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     wide = rows.withColumn("e", F.explode_outer(exprs)).withColumn("digest", F.sha2("e", 256)).withColumn("short", F.substring("digest", 1, SHORT)).drop("e")
