@@ -77,7 +77,7 @@ SELECT page_id, host, path, rh || rp AS rule, coalesce(rv, 'allow') AS verdict F
     "op6_line_dedup": """
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-b AS (SELECT source, line FROM l JOIN t USING (source) WHERE regexp_matches(line, '[^ \\t\\r]') GROUP BY source, line, total HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.1 * total),
+b AS (SELECT source, line FROM l JOIN t USING (source) WHERE regexp_matches(line, '[^ \\t\\r]') GROUP BY source, line, total HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) / total > 0.01),
 k AS (SELECT l.doc_id, l.line, l.pos, b.line IS NULL AS stays FROM l LEFT JOIN b ON l.source = b.source AND l.line = b.line)
 SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (stays) AS text FROM k GROUP BY doc_id) x USING (doc_id)""",
