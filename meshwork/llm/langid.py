@@ -1,7 +1,8 @@
 """Language identification with word-first backoff.
 
 A known word scores its log frequency in each language. An unseen word backs off to its character n-grams of the greatest length of which any
-is known: four, then three, two and one.
+is known: four, then three, two and one. Tables hold only the languages in which a key occurs, so they grow with the sample, not with the
+number of languages times the number of keys.
 """
 
 from __future__ import annotations
@@ -16,18 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.llm.arrow import FOLD, add_columns, unknown
+from meshwork.llm.sample import MOST_BYTES, stretches
 
-#: Bounds of the training sample: documents for each language (about), in all, bytes of a document, words and n-grams kept.
+#: Bounds of the training sample: documents for each language (about), and bytes of all of them (shared evenly by the languages).
 PER_LANG = 1000
-MOST_LANGS = 400
-MOST_BYTES = 1 << 16
-MOST_WORDS = 60_000
-MOST_GRAMS = 60_000
+SAMPLE_BYTES = 64 << 20
+#: Occurrences in the sample of a word or n-gram that is known.
+LEAST = 2
 LONGEST = 4
-#: Bytes of word scores that a task remembers.
+#: Bytes of word scores that a task remembers, and numbers that are made at once for new words.
 CACHE_BYTES = 8 << 20
-#: n-grams of a word whose scores are summed at once.
-PIECE = 4096
+PIECE = 1 << 18
 #: Bytes that are not part of words: ASCII but letters.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in FOLD)
 
@@ -48,42 +48,74 @@ def grams(word: bytes, n: int) -> Iterator[str]:
     return (marked[i : i + n] for i in range(len(marked) - n + 1))
 
 
+@dataclass
+class Table:
+    """What each key adds to the log frequency of the languages that have it, over ``base``, that of a key that a language never has."""
+
+    place: dict
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    base: np.ndarray
+
+    @staticmethod
+    def of(counts: list[Counter]) -> Table:
+        """Add-0.5 log probabilities by language of the keys that all counts together hold LEAST times."""
+        total = Counter()
+        for c in counts:
+            total.update(c)
+        keys = sorted(k for k, n in total.items() if n >= LEAST)
+        sums = np.array([sum(c.values()) + 0.5 * max(1, len(total)) for c in counts])
+        found = [[(i, c[k]) for i, c in enumerate(counts) if k in c] for k in keys]
+        start = np.cumsum([0, *map(len, found)])
+        flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 2)
+        return Table({k: i for i, k in enumerate(keys)}, start, flat[:, 0].astype(np.int32), np.log(2 * flat[:, 1] + 1).astype(np.float32), np.log(0.5 / sums))
+
+    def add(self, out: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> None:
+        """Add to each row of ``out`` what its key (of the same index) adds."""
+        n = self.start[keys + 1] - self.start[keys]
+        at = np.arange(int(n.sum())) + np.repeat(self.start[keys] - (np.cumsum(n) - n), n)
+        out += np.bincount(np.repeat(rows, n) * out.shape[1] + self.lang[at], self.gain[at], out.size).reshape(out.shape)
+
+
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[bytes, np.ndarray]
-    levels: list[tuple[int, dict[str, np.ndarray]]]  # longest n first
-
-    def word(self, w: bytes) -> np.ndarray:
-        if (known := self.words.get(w)) is not None:
-            return known
+    words: Table | None
+    levels: list[tuple[int, Table]]  # longest n first
+
+    def vectors(self, words: list[bytes]) -> np.ndarray:
+        """A row of scores by language for each word."""
+        size = max(1, PIECE // max(1, len(self.langs)))
+        parts = [self._vectors(words[i : i + size]) for i in range(0, len(words), size)]
+        return np.concatenate([np.zeros((0, len(self.langs)), np.float32), *parts])
+
+    def _vectors(self, words: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(words), len(self.langs)))
+        if not self.langs:
+            return out.astype(np.float32)
+        keys = np.fromiter((self.words.place.get(w, -1) for w in words), np.int64, len(words))
+        known = np.flatnonzero(keys >= 0)
+        self.words.add(out, known, keys[known])
+        out[known] += self.words.base
+        left = np.flatnonzero(keys < 0).tolist()
         for n, table in self.levels:
-            found = (v for g in grams(w, n) if (v := table.get(g)) is not None)
-            total, count = np.zeros(len(self.langs)), 0
+            count = np.zeros(len(words))
+            found = ((i, k) for i in left for g in grams(words[i], n) if (k := table.place.get(g)) is not None)
             while part := list(islice(found, PIECE)):
-                total += np.sum(part, 0)
-                count += len(part)
-            if count:
-                return total / count
-        return np.zeros(len(self.langs))
-
-
-def _logs(counts: list[Counter], most: int, least: int = 2) -> dict:
-    """Log probabilities by language (add 0.5), less their mean over languages, of the ``most`` frequent keys."""
-    total = Counter()
-    for c in counts:
-        total.update(c)
-    keys = [k for k, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least]
-    sums = np.array([sum(c.values()) + 0.5 * max(1, len(total)) for c in counts])
-    out = {}
-    for k in keys:
-        v = np.log((np.array([c[k] for c in counts]) + 0.5) / sums)
-        out[k] = v - v.mean()
-    return out
+                rows, own = np.array(part, np.int64).T
+                table.add(out, rows, own)
+                count += np.bincount(rows, minlength=len(words))
+            some = np.flatnonzero(count)
+            out[some] = out[some] / count[some, None] + table.base
+            left = [i for i in left if not count[i]]
+        return out.astype(np.float32)
 
 
 def train(texts: list[bytes], langs: list[str]) -> Model:
     names = sorted(set(langs))
+    if not names:
+        return Model([], None, [])
     place = {x: i for i, x in enumerate(names)}
     words = [Counter() for _ in names]
     for t, lang in zip(texts, langs, strict=True):
@@ -95,26 +127,30 @@ def train(texts: list[bytes], langs: list[str]) -> Model:
             for w, k in own.items():
                 for g in grams(w, n):
                     c[g] += k
-        levels.append((n, _logs(counts, MOST_GRAMS)))
-    return Model(names, _logs(words, MOST_WORDS), levels)
+        levels.append((n, Table.of(counts)))
+    return Model(names, Table.of(words), levels)
 
 
-def learn_languages(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, per_lang: int = PER_LANG) -> Model:
-    """A model from about ``per_lang`` documents of each language (a hashed share of it by its count), none of them of ``held_out``.
+def learn_languages(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, per_lang: int = PER_LANG, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from about ``per_lang`` documents of each language, or fewer so that all come to about ``sample_bytes``; none is of ``held_out``.
 
-    Rows with a null language are not learned from; of more than MOST_LANGS languages the most frequent count.
+    A hashed share of each language's rows, by its measured count and bytes, is drawn; of long documents eight stretches are read. Every language with a text is
+    learned. Rows with a null language or text are not learned from; of rows with an equal id and language one is.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     if held_out is not None:
         rows = rows.where(~held_out)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.octet_length("text"), F.lit(MOST_BYTES))).alias("bytes")).collect()  # a row for each language
     if not sizes:
-        return Model([], {}, [])
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["n"]))).otherwise(share)
-    drawn = rows.where(F.octet_length("text") <= MOST_BYTES).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
-    got = drawn.select("lang", F.col("text").cast("binary").alias("text")).limit(2 * per_lang * len(sizes)).collect()
+        return train([], [])
+    share = [(r["lang"], min(1.0, per_lang / r["n"], sample_bytes / len(sizes) / max(1, r["bytes"]))) for r in sizes]
+    shares = docs.sparkSession.createDataFrame(share, "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)) | (F.col("share") >= 1))
+    got = drawn.groupBy("lang", "id").agg(F.min(stretches(F.col("text"))).alias("text")).orderBy("lang", F.xxhash64("id"), "id").select("lang", F.col("text").cast("binary").alias("text")).collect()
+    rare = {r["lang"] for r in sizes} - {r["lang"] for r in got}
+    if rare:  # by chance none of their documents was drawn: the one of the least hash is
+        least = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in sorted(rare)], "lang string")), "lang").groupBy("lang").agg(F.min(F.struct(F.xxhash64("id").alias("h"), stretches(F.col("text")).alias("text"))).alias("m"))
+        got += least.select("lang", F.col("m.text").cast("binary").alias("text")).orderBy("lang").collect()
     return train([bytes(r["text"]) for r in got], [r["lang"] for r in got])
 
 
@@ -148,7 +184,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
             new = unknown(words, place)
             if new and model.langs:
                 place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                table = np.concatenate([table, np.array([model.word(w) for w in new], np.float32)])
+                table = np.concatenate([table, model.vectors(new)])
             made = [one(t, w) for t, w in zip(texts, words, strict=True)]
             return [[m[0] for m in made], [m[1] for m in made]]
 
