@@ -19,43 +19,89 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "xmp", "noembed", "noframes"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CHROME = {"nav", "footer", "header", "aside", "form", "button", "select", "menu", "dialog", "head", "option", "label", "input"}
-CLOSED_BY_BLOCK = {"p"}
-#: Words of a class, id or role that name what is not the article.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: Elements that end an open one of their kind.
+SELF_CLOSING = {"li", "dt", "dd", "td", "th", "tr", "option"}
+#: Whole tokens of a class, an id or a role that name what is not the article.
 ASIDE = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "contentinfo", "complementary"}
+ASIDE |= {"ad-banner", "ad-slot", "comment-list", "comment-section", "comments-area", "comments-section", "cookie-banner", "cookie-consent", "cookie-notice", "main-nav", "reader-comments", "related-posts", "share-buttons", "sidebar-left", "sidebar-right", "site-footer", "site-header", "site-nav", "skip-link", "social-share"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Of the body's text: a subtree named as no content stays if it holds more and a first heading or a main element, or over the second share where the page names no content at all.
+MOST_ASIDE, MOST_PLAIN_ASIDE = 0.5, 0.75
+
+# a quote opens only after an equals sign
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "skip", "chars", "tags", "links", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "skip", "aside", "lid", "chars", "tags", "links", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, skip: bool = False):
-        self.tag, self.parts, self.skip = tag, [], skip
+    def __init__(self, tag: str, skip: bool = False, aside: bool = False, lid: bool = False):
+        self.tag, self.parts, self.skip, self.aside, self.lid = tag, [], skip, aside, lid
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _aside(attributes: str) -> bool:
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(w in ASIDE for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+def attributes(source: str) -> dict[str, str]:
+    """The attributes of a tag by their lower-case names; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        out.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _hidden(own: dict[str, str]) -> bool:
+    style = "".join(own.get("style", "").lower().split())
+    return "hidden" in own or "display:none" in style or own.get("aria-hidden", "").strip().lower() == "true"
+
+
+def _aside(own: dict[str, str]) -> bool:
+    return any(token in ASIDE for name in ("class", "id", "role") for token in own.get(name, "").lower().split())
+
+
+class _Stack:
+    """Open elements, and where those of each tag and those that block an inner end tag stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK and node.tag != "p":
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag; 0 if there is none."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def blocked(self, place: int) -> bool:
+        """Whether a block other than a paragraph is open within the element."""
+        return bool(self.blocks) and self.blocks[-1] > place
+
+    def close(self, place: int) -> None:
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.nodes):
+                self.blocks.pop()
 
 
 def parse(page: str) -> Node:
-    """A tolerant tree: unclosed elements end with their parents, a block ends an open paragraph, stray end tags are dropped."""
+    """A tolerant tree: unclosed elements end with their parents, a block ends an open paragraph, stray end tags are dropped.
+
+    Of a header in an article or main element just the headings are content; other headers are none.
+    """
     root = Node("#root")
-    stack = [root]
+    stack = _Stack(root)
     at, n = 0, len(page)
 
     def text(s: str) -> None:
-        if s:
-            stack[-1].parts.append(entities.unescape(s))
+        if s and not stack.nodes[-1].lid:
+            stack.nodes[-1].parts.append(entities.unescape(s))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -68,36 +114,58 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            names = [x.tag for x in stack]
-            if tag in names[1:]:
-                k = len(names) - 1 - names[::-1].index(tag)
-                if not (tag not in BLOCK and any(x in BLOCK and x != "p" for x in names[k + 1 :])):  # an inline end tag does not close blocks
-                    del stack[k:]
+            if place := stack.last(tag):
+                if tag in BLOCK or not stack.blocked(place):  # an inline end tag does not close blocks
+                    stack.close(place)
             elif tag == "p":
-                stack[-1].parts.append(Node("p"))
+                stack.nodes[-1].parts.append(Node("p"))
             continue
         if tag in BLOCK:
-            names = [x.tag for x in stack]
-            for own in ("p", *((tag,) if tag in ("li", "dt", "dd", "td", "th", "tr", "option") else ())):
-                if own in names[1:]:
-                    k = len(names) - 1 - names[::-1].index(own)
-                    if not any(x in BLOCK and x != "p" for x in names[k + 1 :]):
-                        del stack[k:]
-                        names = [x.tag for x in stack]
-        node = Node(tag, skip=tag in CHROME or tag in RAW or (tag not in ("html", "body", "article", "main") and _aside(m[3])))
-        stack[-1].parts.append(node)
+            for own in ("p", tag) if tag in SELF_CLOSING else ("p",):
+                if (place := stack.last(own)) and not stack.blocked(place):
+                    stack.close(place)
+        above, own = stack.nodes[-1], attributes(m[3]) if m[3] else {}
+        lid = above.lid and tag not in HEADINGS or tag == "header" and bool(stack.last("article") or stack.last("main"))
+        skip = tag in RAW or tag in CHROME and tag != "form" and not lid or bool(own) and _hidden(own)
+        aside = tag == "form" or bool(own) and tag not in ("html", "body", "article", "main") and _aside(own)
+        node = Node(tag, skip, aside and not skip, lid)
+        above.parts.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag in RAW:
             continue
         if tag in RAW:  # to its own end tag, whatever stands between
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append(node)
-        if len(stack) > 512:  # deeper elements hang on the same parent; their text stays in its place
-            stack.pop()
+        stack.push(node)
+    _drop_asides(root)
     return root
 
 
+def _drop_asides(root: Node) -> None:
+    """Skip the subtrees that their names call no content, but those that hold most of the page's text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(x for x in node.parts if isinstance(x, Node) and not x.skip)
+    if not any(x.aside for x in order):
+        return
+    size: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in reversed(order):
+        inner = [x for x in node.parts if isinstance(x, Node) and not x.skip]
+        size[id(node)] = sum(len(_SPACE.sub(" ", x).strip()) for x in node.parts if isinstance(x, str)) + sum(size[id(x)] for x in inner)
+        if any(x.tag in ("h1", "main") or id(x) in holds for x in inner):
+            holds.add(id(node))
+    named = any(x.tag in ("article", "h1", "main") and not x.aside for x in order)
+    body = next((x for x in order if x.tag == "body"), root)
+    whole = max(1, size[id(body)])
+    for node in order:
+        if node.aside:
+            share = size[id(node)] / whole
+            node.skip = share <= MOST_ASIDE or id(node) not in holds and (named or share <= MOST_PLAIN_ASIDE)
+
+
 def measure(root: Node) -> list[Node]:
     """Characters, tags, links and link tags of each subtree, in an order of children first; what is not content counts nothing."""
     order, todo = [], [(root, False)]
@@ -144,7 +212,11 @@ def content(root: Node) -> Node | None:
         return None
     weigh(nodes, body)
     above = {id(k): x for x in nodes for k in x.parts if isinstance(k, Node)}
-    inner = [x for x in nodes if _within(x, body, above)]
+    inner, todo = [], [body]
+    while todo:
+        x = todo.pop()
+        inner.append(x)
+        todo.extend(k for k in x.parts if isinstance(k, Node) and not k.skip)
     best = max(inner, key=lambda x: (x.total, x.chars))
     if best.total <= 0:
         best = body
@@ -158,14 +230,6 @@ def content(root: Node) -> Node | None:
     return next((x for x in path[path.index(top) :] if x.tag in ("article", "main")), top)
 
 
-def _within(x: Node, body: Node, above: dict[int, Node]) -> bool:
-    while x is not body:
-        if id(x) not in above:
-            return False
-        x = above[id(x)]
-    return True
-
-
 def blocks(node: Node) -> list[str]:
     """The texts of the node's blocks in page order; white space within one is one space."""
     out: list[str] = []
@@ -206,7 +270,7 @@ def extract(page: str | None) -> str:
 def extract_text(pages: DataFrame, *, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``pages`` with text, the main text of the whole html, and n_chars, its code points.
 
-    Null or empty html, or none but menus and the like: empty text. Repeated rows are extracted each. Very deep trees hang on their 512th level. Columns named
+    Null or empty html, or none but menus and the like: empty text. Repeated rows are extracted each. Elements may be nested to any depth. Columns named
     text or n_chars give way.
     """
 
