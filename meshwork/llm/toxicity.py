@@ -1,13 +1,16 @@
 """Counterfactual-regularised toxicity classifier.
 
 A text is the set of its words and their character n-grams that labelled texts show to tell the classes apart; a logistic regression on
-them is trained with a penalty on the square of the change of the score when identity terms are swapped for others of their group.
+them is trained with a penalty on the square of the change of the score when identity terms are swapped for others of their group. Groups
+are given (IDENTITY, in the languages of the data), and found in the labelled sample: terms that neutral texts use in one place, between
+the same two words, can stand for each other, and a text is not more toxic for one than for another of them.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +28,11 @@ LEAST_DOCS = 3
 BUCKETS = 1 << 21
 PENALTY = 1.0
 THRESHOLD = 0.7
+#: Words of neutral texts that are searched for exchangeable terms; share of neutral texts (LEAST_DOCS of them at least) that must hold one, and how often it
+#: must stand in its place.
+FRAME_WORDS = 2_000_000
+LEAST_SHARE = 0.005
+LEAST_FRAME = 2
 #: Words that a task remembers, and bytes of them and their features (about). Words of more than LONG bytes: training makes their features anew each time.
 CACHE = 400_000
 CACHE_BYTES = 128 << 20
@@ -39,6 +47,22 @@ IDENTITY = [
     ["gay", "lesbian", "straight", "bisexual"],
     ["immigrants", "refugees", "foreigners", "natives"],
     ["deaf", "blind", "disabled", "elderly", "young"],
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"],
+    ["muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch"],
+    ["schwule", "lesben", "heterosexuelle", "bisexuelle"],
+    ["einwanderer", "flüchtlinge", "ausländer", "einheimische"],
+    ["gehörlose", "blinde", "behinderte", "alte", "junge"],
+    ["femmes", "hommes", "filles", "garçons"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"],
+    ["homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"],
+    ["immigrés", "réfugiés", "étrangers", "autochtones"],
+    ["sourds", "aveugles", "handicapés", "vieux", "jeunes"],
+    ["mujeres", "hombres", "chicas", "chicos"],
+    ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"],
+    ["homosexuales", "lesbianas", "heterosexuales", "bisexuales"],
+    ["inmigrantes", "refugiados", "extranjeros", "nativos"],
+    ["sordos", "ciegos", "discapacitados", "ancianos", "jóvenes"],
 ]
 
 
@@ -126,25 +150,61 @@ def fresh(texts: list[bytes], y: list[int], numbers: dict[bytes, int]) -> list[n
     return out
 
 
-def swapped(own: set[bytes], groups: list[list[str]], deal: np.random.Generator) -> set[bytes] | None:
-    """The words with each identity term put for another of its group; None if there is no such term."""
-    out, any_term = set(own), False
-    for group in groups:
-        terms = [t.encode() for t in group]
-        here = own & set(terms)
-        if here:
-            any_term = True
-            out -= here
-            for t in sorted(here):
-                others = [o for o in terms if o != t]
-                out.add(others[int(deal.integers(len(others)))])
-    return out if any_term else None
+def exchangeable(texts: list[bytes], y: list[int], *, frame_words: int = FRAME_WORDS, least_share: float = LEAST_SHARE) -> list[list[bytes]]:
+    """Groups of two or more terms that neutral texts (label 0) use between the same two words.
+
+    A term is a word that ``least_share`` of the neutral texts hold, so what only toxic texts hold is none. It belongs to the frame in which it
+    stands most often, of equal ones to the more frequent; so groups are disjoint.
+    """
+    numbers: dict[bytes, int] = {}
+    ids: list[int] = [0]
+    docs: list[int] = [0]
+    for i, (text, label) in enumerate(zip(texts, y, strict=True)):
+        if label == 0 and len(ids) < frame_words:
+            own = [numbers.setdefault(w, len(numbers) + 1) for w in words(text)]
+            ids += own + [0]
+            docs += [i] * (len(own) + 1)
+    size = len(numbers) + 1
+    at, of = np.array(ids, np.int64), np.array(docs, np.int64)
+    held = np.bincount(np.unique(of * size + at) % size, minlength=size)
+    term = held >= max(LEAST_DOCS, least_share * len(set(docs)))
+    term[0] = False
+    middle = np.flatnonzero(term[at[1:-1]] & (at[:-2] > 0) & (at[2:] > 0)) + 1
+    frames, frame, often = np.unique(at[middle - 1] * size + at[middle + 1], return_inverse=True, return_counts=True)
+    pairs, count = np.unique(frame * size + at[middle], return_counts=True)
+    frame, word = pairs // size, pairs % size
+    keep = count >= LEAST_FRAME
+    frame, word, count = frame[keep], word[keep], count[keep]
+    best = np.lexsort((frame, -often[frame], -count, word))
+    first = np.concatenate([[True], np.diff(word[best]) != 0]) if len(best) else np.zeros(0, bool)
+    spelling = [b"", *numbers]
+    groups: dict[int, list[bytes]] = {}
+    for k in best[first].tolist():
+        groups.setdefault(int(frame[k]), []).append(spelling[word[k]])
+    return [sorted(g) for _, g in sorted(groups.items()) if len(g) > 1]
+
+
+def swapped(own: set[bytes], groups: list[list[bytes]], deal: np.random.Generator) -> set[bytes] | None:
+    """The words with each term put for another of its group; None if there is no such term. A word of several groups counts in the first."""
+    group_of = {t: (g, i) for g in reversed(groups) for i, t in enumerate(g)}
+    return swap({t for t in own if t in group_of}, own, group_of, deal)
+
+
+def swap(here: set[bytes], own: set[bytes], group_of: dict[bytes, tuple[list[bytes], int]], deal: np.random.Generator) -> set[bytes] | None:
+    if not here:
+        return None
+    out = own - here
+    for t in sorted(here):
+        group, i = group_of[t]
+        out.add(group[(i + 1 + int(deal.integers(len(group) - 1))) % len(group)])
+    return out
 
 
-def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups: list[list[str]] = IDENTITY, epochs: int = 30, rate: float = 0.3, decay: float = 1e-4, swaps: int = 3, seed: int = 0) -> Model:
+def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups: list[list[str]] = IDENTITY, mine: bool = True, epochs: int = 30, rate: float = 0.3, decay: float = 1e-4, swaps: int = 3, seed: int = 0) -> Model:
     """Adaptive gradient descent on the logistic loss plus penalty * (logit - counterfactual logit)^2, averaged over ``swaps`` counterfactuals.
 
-    Of a counterfactual only the features are held in which it differs from its text.
+    groups: identity terms that may stand for each other; with ``mine``, those that the sample shows too. Of a counterfactual only the
+    features are held in which it differs from its text.
     """
     target, deal = np.array(y, int), np.random.default_rng(seed)
     if not texts or len(set(y)) < 2:
@@ -155,13 +215,14 @@ def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups:
     del lines
     sets = [numbered(set(words(t)), numbers) for t in texts]
     spelling = list(numbers)
-    known_terms = {t.encode() for g in groups for t in g}
-    term_numbers = {numbers[t] for t in known_terms if t in numbers}
+    given = [[t.encode() for t in g] for g in groups]
+    group_of = {t: (g, i) for g in reversed(given + (exchangeable(texts, y) if mine else [])) for i, t in enumerate(g) if len(g) > 1}
+    term_numbers = {numbers[t] for t in group_of if t in numbers}
     terms = [{spelling[k] for k in term_numbers.intersection(own.tolist())} for own in sets]
-    others = [[s for _ in range(swaps) if (s := swapped(own, groups, deal))] for own in terms]
+    others = [[s for _ in range(swaps) if (s := swap(own, own, group_of, deal))] for own in terms]
     seen = set(names)
-    for t in sorted(set().union(*terms, *(s for o in others for s in o))):
-        if (f := b"<" + t + b">") not in seen:
+    for t in sorted({t for g in given for t in g}):  # given terms have a weight to level, whether or not the sample tells their labels apart
+        if t in numbers and (f := b"<" + t + b">") not in seen:
             names.append(f)
     place = {f: i for i, f in enumerate(names)}
 
@@ -169,8 +230,9 @@ def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups:
         return tuple({place[f] for f in features(w) if f in place})
 
     known = [ids(w) for w in spelling]
-    by_term = {t: ids(t) for t in known_terms}
-    rows, of, index2, doc2, sign = [], [], [], [], []
+    by_term = {t: ids(t) for t in group_of}
+    rows, of = [], []
+    index2, doc2, sign = array("i"), array("i"), array("b")
     for i, (own, here, more) in enumerate(zip(sets, terms, others, strict=True)):
         full = {f for k in own.tolist() for f in known[k]}
         rows.append(np.array(sorted(full), np.int32))
@@ -178,15 +240,15 @@ def train(texts: list[bytes], y: list[int], *, penalty: float = PENALTY, groups:
             plain = {f for k in own.tolist() if spelling[k] not in here for f in known[k]}
             for s in more:
                 other = plain.union(*(by_term[t] for t in s))
-                for found, way in ((full - other, 1.0), (other - full, -1.0)):
-                    index2 += sorted(found)
-                    doc2 += [len(of)] * len(found)
-                    sign += [way] * len(found)
+                for found, way in ((full - other, 1), (other - full, -1)):
+                    index2.extend(sorted(found))
+                    doc2.extend([len(of)] * len(found))
+                    sign.extend([way] * len(found))
                 of.append(i)
     del sets, terms, others, known, spelling, numbers
     w, bias, square, square_bias = np.zeros(len(names)), 0.0, np.full(len(names), 1e-6), 1e-6
     index, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), list(map(len, rows)))
-    index2, doc2, sign = np.array(index2, np.int64), np.array(doc2, np.int64), np.array(sign, float)
+    index2, doc2, sign = np.frombuffer(index2, np.int32) if len(index2) else np.zeros(0, np.int32), np.frombuffer(doc2, np.int32) if len(doc2) else np.zeros(0, np.int32), np.frombuffer(sign, np.int8) if len(sign) else np.zeros(0, np.int8)
     count = len(rows)
     del rows
     # classes weigh the same
