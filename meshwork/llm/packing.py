@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshwork.llm.arrow import free, give_back, shards, unknown
+from meshwork.llm.arrow import free, give_back, shards, unknown, without
 
 CAPACITY = 4096
 END_ID = 2
@@ -42,11 +43,19 @@ def _splits(word: bytes, mark: bytes) -> bool:
     return bool(_LATIN.fullmatch(last.lower())) and last != "\u0130"
 
 
+def lowered(word: bytes) -> bytes:
+    """The word with a-z for A-Z, unless that changes how its letters and marks compose (the tokenizer composes first)."""
+    low = word.lower()
+    if low == word or word.isascii():
+        return low
+    return low if unicodedata.is_normalized("NFC", word.decode("utf-8")) and unicodedata.is_normalized("NFC", low.decode("utf-8")) else word
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins characters across white space.
 
     Normalisation and pre-tokenization of the vocabulary file act within runs of non-space characters, so the ids of a text are those
-    of its runs, one after another, and those of a run are those of its word in lower case and of the marks after it. All are
+    of its runs, one after another, and those of a run are those of its word in lower case (where that composes alike) and of the marks after it. All are
     remembered. Words of Latin letters alone are one piece each for the vocabulary, the last id of which ends a word;
     so many are encoded as one text and told apart by these ends.
     """
@@ -104,7 +113,7 @@ class WordTokenizer:
             if named and b"<|" in r or not word or (word is r and not marks and r[-1:] in _MARKS):
                 need.add(r)
                 continue
-            word = word.lower()
+            word = lowered(word)
             need.add(word)
             if marks:
                 need.add(marks)
@@ -208,7 +217,7 @@ def pack(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
     new one give way to it.
     """
     added = T.StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double")
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in added.names and (keep is not None or c != text_col)]
+    kept = without([c for c in docs.columns if c != text_col] if keep is None else keep, added.names)
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(free("__text", kept)))
     names = [*kept, *added.names]
 
