@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,10 @@ REGISTERS = 128
 BANDS, ROWS = 25, 5
 #: Of 128 one-bit registers, how many may differ: similarity 0.8 gives 12.8 +- 3.4, so a pair at it is beyond with probability 8e-6.
 MOST_BITS = 29
-#: The same of the finer sketch that nodes of open buckets get: 1024 one-bit registers differ in 102.4 +- 9.6 (beyond: 5e-5).
+#: The same of the finer sketch that nodes of open buckets get: of 1024 four-bit registers a pair at 0.8 differs in 192 +- 12.5 (beyond: 5e-5), one at 0.7 in 288 +- 14.4.
 FINE = 1024
-MOST_FINE_BITS = 141
+FINE_BITS = 4
+MOST_FINE = 242
 #: Keys of candidates up to this number (32 bytes each, whatever the type of the ids) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Nodes outside a bucket's largest component that are compared with all of the bucket in the first round, about; then four times as many in each.
@@ -94,9 +96,9 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, count:
     return holder.reshape(count, registers)
 
 
-def coins(held: np.ndarray) -> np.ndarray:
-    """One-bit registers (text, register): a bit of each register's element, another for the same element in another register."""
-    return mix(held ^ mix(np.arange(held.shape[1], dtype=np.uint64))) & np.uint64(1)
+def coins(held: np.ndarray, bits: int = 1) -> np.ndarray:
+    """Registers of few bits (text, register): those of each register's element, and others for the same element in another register."""
+    return mix(held ^ mix(np.arange(held.shape[1], dtype=np.uint64))) & np.uint64((1 << bits) - 1)
 
 
 def prob_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -150,19 +152,20 @@ def _signature_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
 
 
 def _fine_columns(texts: DataFrame) -> DataFrame:
-    """(node, f0, f1, ...): one-bit registers of FINE, 64 in each column."""
+    """(node, f0, f1, ...): four-bit registers; columns 4k to 4k + 3 hold the four bits of registers 64k to 64k + 63."""
 
     def make():
         power = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
         def work(texts: list[bytes | None]) -> list:
             doc, element, weight = shingles([words(t) if t else [] for t in texts])
-            bits = coins(signatures(doc, element, weight, len(texts), FINE))
-            return (bits.reshape(len(texts), FINE // 64, 64) * power).sum(2, dtype=np.uint64).view(np.int64).T.tolist()
+            drawn = coins(signatures(doc, element, weight, len(texts), FINE), FINE_BITS).reshape(len(texts), FINE // 64, 64)
+            planes = [((drawn >> np.uint64(b)) & np.uint64(1)) * power for b in range(FINE_BITS)]
+            return np.stack([p.sum(2, dtype=np.uint64) for p in planes], 2).reshape(len(texts), -1).view(np.int64).T.tolist()
 
         return work
 
-    return add_columns(texts, ", ".join(f"f{k} long" for k in range(FINE // 64)), make, keep=["node"], shard_bytes=SHARD_BYTES, shard_rows=512)
+    return add_columns(texts, ", ".join(f"f{k} long" for k in range(FINE // 64 * FINE_BITS)), make, keep=["node"], shard_bytes=SHARD_BYTES, shard_rows=512)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -239,7 +242,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     null class_id. Empty table: no rows.
     """
     rows = cut(_classes(docs, id_col, text_col, similarity, broadcast_ids, centres))
-    least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"))
+    least = cut(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least")))  # apart from the join, so that a skewed class can be split there
     out = rows.join(least, "class", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -298,14 +301,15 @@ def _met(rows: DataFrame, drawn: DataFrame, fine: DataFrame) -> DataFrame:
 
     A pair leaves the first band that it shares. Buckets are dealt over salts, drawn nodes copied to each.
     """
-    parts = range(FINE // 64)
+    parts = range(FINE // 64 * FINE_BITS)
     wide = rows.select("band", "place", "node", "label").join(fine, "node").join(drawn.withColumn("is_drawn", F.lit(True)), "node", "left").withColumn("is_drawn", F.coalesce("is_drawn", F.lit(False)))
     c = wide.where("is_drawn").select("band", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("bands").alias("cbands"), *(F.col(f"f{k}").alias(f"g{k}") for k in parts), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     wide = wide.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int"))
-    unlike = sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}"))) for k in parts), F.lit(0))
+    differ = [F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}")) for k in parts]
+    unlike = sum((F.bit_count(reduce(Column.bitwiseOR, differ[k : k + FINE_BITS])) for k in parts[::FINE_BITS]), F.lit(0))
     first = ~F.arrays_overlap(F.slice("bands", F.lit(1), F.col("place")), F.slice("cbands", F.lit(1), F.col("place")))
     once = ~F.col("is_drawn") | (F.col("c") < F.col("node"))
-    met = c.join(wide, ["band", "salt"]).where((F.col("cl") != F.col("label")) & once & (unlike <= MOST_FINE_BITS) & first)
+    met = c.join(wide, ["band", "salt"]).where((F.col("cl") != F.col("label")) & once & (unlike <= MOST_FINE) & first)
     down = F.col("c") > F.col("node")  # a is the greater; its partner's component is bl
     return met.select(F.greatest("c", "node").alias("a"), F.least("c", "node").alias("b"), F.when(down, F.col("label")).otherwise(F.col("cl")).alias("bl"))
 
@@ -326,7 +330,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = cut(_classes(docs, id_col, text_col, similarity, BROADCAST_IDS, CENTRES).where("class IS NOT NULL").select("id", "row", "i1", "d1", "d2", "class"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "i1", "d1", "d2")).alias("m")
-    stays = rows.groupBy("class").agg(first).select("class", "m.row", F.col("m.i1").alias("s0"), F.col("m.d1").alias("s1"), F.col("m.d2").alias("s2"))
+    stays = cut(rows.groupBy("class").agg(first)).select("class", "m.row", F.col("m.i1").alias("s0"), F.col("m.d1").alias("s1"), F.col("m.d2").alias("s2"))
     others = rows.join(stays.withColumnRenamed("row", "stay"), "class").where("row <> stay")
     same = (F.col("i1") == F.col("s0")) & (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2"))
     others = cut(others.select("i1", "d1", "d2", same.alias("again")).distinct())

@@ -24,15 +24,15 @@ def short_pairs(count):
     return [t for x in long for t in (x.rsplit(" ", 1)[0], x)]
 
 
-@pytest.mark.parametrize(("registers", "most"), [(neardup.REGISTERS, neardup.MOST_BITS), (neardup.FINE, neardup.MOST_FINE_BITS)])
-def test_sketches_keep_short_pairs(registers, most):
+@pytest.mark.parametrize(("registers", "bits", "most"), [(neardup.REGISTERS, 1, neardup.MOST_BITS), (neardup.FINE, neardup.FINE_BITS, neardup.MOST_FINE)])
+def test_sketches_keep_short_pairs(registers, bits, most):
     texts = short_pairs(1500)
     assert prob_jaccard(shingled(texts[0]), shingled(texts[1])) == pytest.approx(0.8)
     held = neardup.signatures(*neardup.shingles([t.encode().split() for t in texts]), len(texts), registers)
-    bits = neardup.coins(held)
-    unlike = (bits[::2] != bits[1::2]).sum(1)
-    assert abs(unlike.mean() / registers - 0.1) < 0.01 and (unlike > most).sum() == 0
-    assert abs(bits.mean() - 0.5) < 0.01
+    drawn = neardup.coins(held, bits)
+    unlike = (drawn[::2] != drawn[1::2]).sum(1)
+    assert abs(unlike.mean() / registers - 0.2 * (1 - 0.5**bits)) < 0.01 and (unlike > most).sum() == 0
+    assert abs(drawn.mean() / (2**bits - 1) - 0.5) < 0.01
 
 
 def test_neardup_links_short_pairs(spark):
