@@ -70,6 +70,16 @@ def degrees_at(log: DataFrame, version: int) -> DataFrame:
     return snapshot(log, version).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"))
 
 
+def slotted(log: DataFrame, marks: list[int]) -> DataFrame:
+    """``log`` with __slot: the index of the first of the ascending ``marks`` that is not before the row's version.
+
+    The slots of the log's distinct versions are a small table, so thousands of marks make no larger plan.
+    """
+    ends = F.lit(marks).cast("array<bigint>")
+    slots = log.select("version").distinct().select("version", F.size(F.filter(ends, lambda m: m < F.col("version"))).alias("__slot"))
+    return log.join(slots, "version").select(*log.columns, "__slot")
+
+
 def compact(log: DataFrame, active: list[int]) -> DataFrame:
     """A normalised log without the rows that no active version and none after the youngest reads.
 
@@ -79,11 +89,7 @@ def compact(log: DataFrame, active: list[int]) -> DataFrame:
     if not active:
         return log
     marks = sorted(set(active))
-    # a row belongs to the interval that ends at the first active version not before it
-    slot = F.lit(len(marks))
-    for k in range(len(marks) - 1, -1, -1):
-        slot = F.when(F.col("version") <= marks[k], F.lit(k)).otherwise(slot)
-    rows = log.withColumn("__slot", slot)
+    rows = slotted(log, marks)
     latest = F.row_number().over(Window.partitionBy("src", "dst", "__slot").orderBy(F.desc("version"), seq_of(F.col("op")).desc()))
     kept = rows.withColumn("__k", latest).where((F.col("__slot") == len(marks)) | (F.col("__k") == 1))
     first = F.row_number().over(Window.partitionBy("src", "dst").orderBy(*_order()))
