@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names in spark.checkpoint.dir; make one only where it names none (tests, local runs)."""
+    """Use the folder the session names in spark.checkpoint.dir; make one only where it names none and all runs on this machine (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="meshwork-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
@@ -25,3 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; what follows restarts from there after a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` has made and that nothing reads any more, such as the state before a round's."""
+    plan = df._jdf.queryExecution().analyzed()
+    try:
+        file = plan.rdd().getCheckpointFile()
+    except Exception:  # not a table of cut's own: a selection of one, say
+        return
+    if file.isDefined():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

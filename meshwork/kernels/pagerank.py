@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.cut import cut
+from meshwork.cut import cut, drop
+from meshwork.kernels.spread import Dealt
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 5, damping: float = 0.85) -> DataFrame:
-    """(v, score): s0 = 1/n; s = (1 - d)/n + d * (sum over neighbours of s/deg + mass of vertices without edges / n).
+def step(hops: Dealt, state: DataFrame, n: int, damping: float) -> DataFrame:
+    """(v, deg, score) after a round: the edges are joined where they are, shares are summed before their shuffle, and the dangling mass is a one-row aggregate."""
+    shares = state.select("v", "deg", (F.col("score") / F.col("deg")).alias("share"))
+    sums = hops.join(shares).groupBy(F.col("dst").alias("v")).agg(F.sum("share").alias("got"))
+    lost = state.where("deg = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+    return state.join(sums, "v", "left").join(F.broadcast(lost)).select("v", "deg", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
+
 
-    The edges keep one partitioning by src over all iterations; shares are summed before their shuffle, and the dangling mass is a
-    one-row aggregate, not a driver's round trip.
-    """
+def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 5, damping: float = 0.85) -> DataFrame:
+    """(v, score): s0 = 1/n; s = (1 - d)/n + d * (sum over neighbours of s/deg + mass of vertices without edges / n)."""
     n = vertices.count()
     if not n:
         return vertices.select("v", F.lit(0.0).alias("score"))
-    hops = cut(edges.select("src", "dst").repartition("src"))
-    degree = hops.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("deg"))
-    state = cut(vertices.select("v").join(degree, "v", "left").select("v", F.coalesce("deg", F.lit(0)).alias("deg"), F.lit(1.0 / n).alias("score")))
+    hops = Dealt(edges.select("src", "dst"), "src")
+    state = cut(vertices.select("v").join(hops.degree, "v", "left").select("v", F.coalesce("deg", F.lit(0)).alias("deg"), F.lit(1.0 / n).alias("score")))
     for _ in range(iterations):
-        shares = state.where("deg > 0").select(F.col("v").alias("src"), (F.col("score") / F.col("deg")).alias("share"))
-        sums = hops.join(shares, "src").groupBy(F.col("dst").alias("v")).agg(F.sum("share").alias("got"))
-        lost = state.where("deg = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        state = cut(state.join(sums, "v", "left").join(F.broadcast(lost)).select("v", "deg", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score")))
+        past, state = state, cut(step(hops, state, n, damping))
+        drop(past)
+    hops.free()
     return state.select("v", "score")
