@@ -32,6 +32,10 @@ class Graph:
     def vertex_count(self) -> int:
         return self.vertices.count()
 
+    def max_vertex(self) -> DataFrame:
+        """(top): one more than the greatest vertex id, 0 of an empty graph."""
+        return self.vertices.agg(F.coalesce(F.max("v") + 1, F.lit(0)).alias("top"))
+
     def edge_count(self) -> int:
         """Directed edges: an undirected one counts twice."""
         return self.edges.count()

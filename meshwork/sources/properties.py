@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
+from pyspark.sql import SparkSession
+
 #: Experiments of each algorithm name.
 EXPERIMENTS = {"bfs": ["bfs", "bsbfs"], "pr": ["pr", "bspr"], "cdlp": ["cdlp"], "lcc": ["lcc"], "sssp": ["sssp"], "wcc": ["wcc"]}
 
@@ -92,8 +94,12 @@ class Dataset:
         return f"{self.directory}/{algorithm}.gold_standard"
 
 
-def checked(path: str) -> str:
-    """A path whose suffix names a known format."""
+def checked(path: str, spark: SparkSession | None = None) -> str:
+    """A path whose suffix names a known format, and, where a session is given, at which there is a file."""
     if PurePosixPath(path).suffix not in (".csr", ".edgeList", ".parquet"):
         raise ValueError(f"unknown kind of file: {path}")
+    if spark is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            raise FileNotFoundError(path)
     return path
