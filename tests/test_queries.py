@@ -1,6 +1,6 @@
 import pytest
 
-from meshwork.plans import catalog
+from meshwork.plans import catalog, stored
 
 from .oracle import compare
 
@@ -11,6 +11,10 @@ def test_query_equals_its_sql(spark, name):
     compare(spark, catalog.QUERIES[name], catalog.ORACLE[name])
 
 
+def test_stored_queries_are_registered():
+    assert stored.QUERIES_HERE <= set(catalog.QUERIES)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
