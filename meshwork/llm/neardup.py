@@ -262,7 +262,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, broa
     pairs = cut(shared.join(middle, "band").where((F.col("c") != F.col("node")) & near).select(F.col("c").alias("a"), F.col("node").alias("b")).distinct())
 
     keys = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "i1", "d1", "d2"))
-    texts = _texts(docs, keys, id_col, text_col, broadcast_ids)
+    repeated = not seen.groupBy("i1", "d1", "d2").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    texts = _texts(docs, keys, id_col, text_col, broadcast_ids, repeated)
     links = cut(_verify(pairs.withColumn("bl", F.col("b")), texts, similarity))
     label = components(links).select(F.col("v").alias("node"), F.col("component").alias("label"))
     tried, open_rows = pairs, None
@@ -271,7 +272,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, broa
         if open_rows.isEmpty():
             return seen, reps, label, links
         if tried is pairs:
-            fine_of = _fine_columns(_texts(docs, keys.join(open_rows.select("node").distinct(), "node", "left_semi"), id_col, text_col, broadcast_ids))
+            fine_of = _fine_columns(_texts(docs, keys.join(open_rows.select("node").distinct(), "node", "left_semi"), id_col, text_col, broadcast_ids, repeated))
             fine = cut(fine_of.join(nodes.select("node", "bands"), "node"))
         drawn = cut(open_rows.where((F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("outside")) < centres)).select("node").distinct())
         found = cut(_met(open_rows, drawn, fine).join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
@@ -281,11 +282,15 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, broa
         tried, centres = tried.unionByName(found.select("a", "b")), 4 * centres
 
 
-def _texts(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
-    """(node, text) of nodes (node, i1, d1, d2); rows repeated with id and text give one."""
+def _texts(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_ids: int, repeated: bool) -> DataFrame:
+    """(node, text) of nodes (node, i1, d1, d2); rows repeated with id and text, if there are any, give one.
+
+    Without such rows nothing stands between a join of texts and its shuffle, so that adaptive execution can split the pairs of a hot node.
+    """
     few = keys.limit(broadcast_ids + 1).count() <= broadcast_ids
     rows = docs.select(*_row_key(id_col, text_col), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
-    return rows.join(F.broadcast(keys) if few else keys, ["i1", "d1", "d2"]).select("node", "text").dropDuplicates(["node"])
+    found = rows.join(F.broadcast(keys) if few else keys, ["i1", "d1", "d2"]).select("node", "text")
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
 def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
