@@ -32,10 +32,12 @@ FINE_BITS = 4
 MOST_FINE = 242
 #: Keys of candidates up to this number (32 bytes each, whatever the type of the ids) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Small tables of the rounds are broadcast up to so many bytes, by their counted rows; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Nodes outside a bucket's largest component that are compared with all of the bucket in the first round, about; then four times as many in each.
 CENTRES = 16
-#: Salts that a bucket is dealt over when drawn nodes meet it.
-SALTS = 8
+#: Rows of a bucket for each salt that it is dealt over when drawn nodes meet it; these are copied to each.
+SALT_ROWS = 1000
 
 #: Bytes of text that are hashed at once, and rows that a Python worker gets at once: its arrays are some 40 times that text.
 SHARD_BYTES = 1 << 20
@@ -265,7 +267,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, broa
     repeated = not seen.groupBy("i1", "d1", "d2").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     texts = _texts(docs, keys, id_col, text_col, broadcast_ids, repeated)
     links = cut(_verify(pairs.withColumn("bl", F.col("b")), texts, similarity))
-    label = components(links).select(F.col("v").alias("node"), F.col("component").alias("label"))
+    label = cut(components(links).select(F.col("v").alias("node"), F.col("component").alias("label")))
     tried, open_rows = pairs, None
     while True:
         open_rows = _open(shared.select("band", "place", "node") if open_rows is None else open_rows, label)
@@ -278,7 +280,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, broa
         found = cut(_met(open_rows, drawn, fine).join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
         more = cut(_verify(found, texts, similarity))
         label, links = _merged(label, more), links.unionByName(more)
-        open_rows = open_rows.join(drawn, "node", "left_anti").select("band", "place", "node")
+        open_rows = open_rows.join(_sent(drawn, 8), "node", "left_anti").select("band", "place", "node")
         tried, centres = tried.unionByName(found.select("a", "b")), 4 * centres
 
 
@@ -293,23 +295,28 @@ def _texts(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadca
     return found.dropDuplicates(["node"]) if repeated else found
 
 
+def _sent(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A table of ``cut``, marked for a broadcast if its rows, of about so many bytes, come to BROADCAST_BYTES at most. They are counted without a shuffle."""
+    return F.broadcast(df) if df._jdf.rdd().count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """(band, place, node, label, main, outside) of the buckets in ``rows`` that hold several components: main is the largest, outside counts the nodes of others."""
-    named = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """(band, place, node, label, main, outside, salts) of the buckets in ``rows`` that hold several components: main is the largest, outside counts the nodes of others."""
+    named = rows.join(_sent(label, 16), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("labels"), F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("m"))
-    mixed = mixed.where("labels > 1").select("band", F.col("m.label").alias("main"), (F.col("k") - F.col("m.k")).alias("outside"))
+    mixed = mixed.where("labels > 1").select("band", F.col("m.label").alias("main"), (F.col("k") - F.col("m.k")).alias("outside"), F.ceil(F.col("k") / SALT_ROWS).cast("int").alias("salts"))
     return cut(named.join(mixed, "band"))
 
 
 def _met(rows: DataFrame, drawn: DataFrame, fine: DataFrame) -> DataFrame:
     """Pairs (a, b, bl) of a drawn node and a node of another component that share a bucket and that the fine sketch does not rule out.
 
-    A pair leaves the first band that it shares. Buckets are dealt over salts, drawn nodes copied to each.
+    A pair leaves the first band that it shares. Large buckets are dealt over salts, and their drawn nodes copied to each.
     """
     parts = range(FINE // 64 * FINE_BITS)
-    wide = rows.select("band", "place", "node", "label").join(fine, "node").join(drawn.withColumn("is_drawn", F.lit(True)), "node", "left").withColumn("is_drawn", F.coalesce("is_drawn", F.lit(False)))
-    c = wide.where("is_drawn").select("band", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("bands").alias("cbands"), *(F.col(f"f{k}").alias(f"g{k}") for k in parts), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    wide = wide.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int"))
+    wide = rows.select("band", "place", "node", "label", "salts").join(_sent(fine, 8 * (len(parts) + BANDS + 4)), "node").join(_sent(drawn, 8).withColumn("is_drawn", F.lit(True)), "node", "left").withColumn("is_drawn", F.coalesce("is_drawn", F.lit(False)))
+    c = wide.where("is_drawn").select("band", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("bands").alias("cbands"), *(F.col(f"f{k}").alias(f"g{k}") for k in parts), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    wide = wide.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.col("salts")).cast("int"))
     differ = [F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}")) for k in parts]
     unlike = sum((F.bit_count(reduce(Column.bitwiseOR, differ[k : k + FINE_BITS])) for k in parts[::FINE_BITS]), F.lit(0))
     first = ~F.arrays_overlap(F.slice("bands", F.lit(1), F.col("place")), F.slice("cbands", F.lit(1), F.col("place")))
@@ -321,11 +328,12 @@ def _met(rows: DataFrame, drawn: DataFrame, fine: DataFrame) -> DataFrame:
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) after further links: their ends' components are contracted, which are far fewer than nodes."""
-    ends = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    at = lambda side: ends.select(F.col("node").alias(side), F.col("label").alias(f"{side}_l"))
-    joined = components(links.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_l").alias("src"), F.col("dst_l").alias("dst"))).select(F.col("v").alias("label"), F.col("component").alias("now"))
+    ends = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(_sent(label, 16), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    sent = _sent(ends, 16)
+    at = lambda side: sent.select(F.col("node").alias(side), F.col("label").alias(f"{side}_l"))
+    joined = cut(components(links.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_l").alias("src"), F.col("dst_l").alias("dst"))).select(F.col("v").alias("label"), F.col("component").alias("now")))
     every = label.unionByName(ends).distinct()
-    return cut(every.join(joined, "label", "left").select("node", F.coalesce("now", "label").alias("label")))
+    return cut(every.join(_sent(joined, 16), "label", "left").select("node", F.coalesce("now", "label").alias("label")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
