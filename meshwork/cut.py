@@ -5,9 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then deletes the shuffle files of a query when it has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the session names in spark.checkpoint.dir; make one only where it names none and all runs on this machine (tests)."""
@@ -39,3 +45,30 @@ def drop(df: DataFrame) -> None:
     if file.isDefined():
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder beside the checkpoints for tables of ``store``, deleted at the end. Shuffle files of what runs meanwhile go as each query ends."""
+    ensure_checkpoint_dir(spark)
+    at, before = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield at
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+        delete(spark, at)
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def store(df: DataFrame, at: str) -> DataFrame:
+    """``df`` as compressed columns in the folder ``at`` of ``scratch``: as safe as ``cut``, in a fraction of a checkpoint's bytes."""
+    df.write.parquet(at, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshwork.errors import NoProperties
 from meshwork.kernels.bfs import bfs
 from meshwork.kernels.cdlp import cdlp
-from meshwork.kernels.lcc import lcc, triangles
+from meshwork.kernels.lcc import lcc, triangle_count, triangles
 from meshwork.kernels.pagerank import pagerank
 from meshwork.kernels.sssp import sssp
 from meshwork.kernels.wcc import wcc
@@ -97,6 +97,9 @@ class Graph:
     def triangles(self) -> DataFrame:
         return triangles(self.edges)
 
+    def triangle_count(self) -> int:
+        return triangle_count(self.edges)
+
     def cdlp(self, max_iterations: int = 30, isolated: str = "int64max") -> DataFrame:
         return cdlp(self.vertices, self.edges, max_iterations, isolated)
 

@@ -11,6 +11,8 @@ from meshwork import log as edge_log
 from meshwork.cut import cut
 from meshwork.functions import ids
 from meshwork.graph import Graph
+from meshwork.kernels.lcc import lcc as clustering
+from meshwork.kernels.lcc import triangle_count
 from meshwork.operators import ingest, report
 from meshwork.plans import fixtures as fx
 from meshwork.sources import text
@@ -395,7 +397,7 @@ def wcc_sizes(spark, sf):
 
 @query(f"WITH {G1} SELECT count(*) AS triangles FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst")
 def triangles(spark, sf):
-    return fx.g1(spark, sf).triangles().agg(F.count("*").alias("triangles"))
+    return spark.range(1).select(F.lit(triangle_count(fx.copairs(spark, sf), once=True)).cast("bigint").alias("triangles"))
 
 
 def _clustering(graph: str, vx: str) -> str:
@@ -411,7 +413,7 @@ def lcc(spark, sf):
 
 @query(_clustering(G1, VX))
 def lcc_dense(spark, sf):
-    return fx.g1(spark, sf).lcc().select("v", F.round("lcc", 6).alias("lcc"))
+    return clustering(None, fx.copairs(spark, sf), once=True).select("v", F.round("lcc", 6).alias("lcc"))
 
 
 def _communities(vx: str, rounds: int, alone: str = "9223372036854775807") -> str:

@@ -25,6 +25,13 @@ def copart(spark: SparkSession, sf_dir: str, least_quantity: float | None = None
     return pairs.groupBy(F.col("l_partkey").alias("src"), F.col("part").alias("dst")).agg((F.min(F.col("l_quantity") + F.col("quantity")) / 100.0).alias("weight"))
 
 
+def copairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst), src < dst: the edges of ``copart`` without weights, once for each order. Both sides of the join read one shuffle."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    pairs = items.alias("a").join(items.alias("b"), F.col("a.l_orderkey") == F.col("b.l_orderkey")).where("a.l_partkey < b.l_partkey")
+    return pairs.select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))
+
+
 def g1(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of_edges(cut(copart(spark, sf_dir)))
 
